@@ -1,0 +1,11 @@
+"""Registered queries over the given tables, and the SQL that must agree with them."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
