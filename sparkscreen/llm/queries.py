@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import media, mixing, packing, sharding, token_files
 
 
 def queries() -> dict:
     return {
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_sampled_splitters": sharding.op3_sampled_splitters,
+        "op5_pareto_mixing": mixing.op5_pareto_mixing,
         "op6_token_files": token_files.op6_token_files,
+        "op10_media_columns": media.op10_media_columns,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_pareto_mixing": mixing.OP5_SQL}
