@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, sharding, token_files
+from . import media, mixing, packing, sharding, simhash, token_files
 
 
 def queries() -> dict:
     return {
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_sampled_splitters": sharding.op3_sampled_splitters,
+        "op4_simhash_pivots": simhash.op4_simhash_pivots,
         "op5_pareto_mixing": mixing.op5_pareto_mixing,
         "op6_token_files": token_files.op6_token_files,
         "op10_media_columns": media.op10_media_columns,
