@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, media, mixing, packing, sharding, simhash, token_files, toxicity
+from . import html_text, lines, media, mixing, packing, sharding, simhash, token_files, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_simhash_pivots": simhash.op4_simhash_pivots,
         "op5_pareto_mixing": mixing.op5_pareto_mixing,
         "op6_token_files": token_files.op6_token_files,
+        "op7_line_dedup": lines.op7_line_dedup,
         "op8_html_crf": html_text.op8_html_crf,
         "op9_toxicity_segments": toxicity.op9_toxicity_segments,
         "op10_media_columns": media.op10_media_columns,
