@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import html_text, lines, media, mixing, packing, sharding, simhash, token_files, toxicity
+from . import html_text, lines, media, mixing, packing, sharding, simhash, sketches, token_files, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_invertible_sketch": sketches.op1_invertible_sketch,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_sampled_splitters": sharding.op3_sampled_splitters,
         "op4_simhash_pivots": simhash.op4_simhash_pivots,
