@@ -77,6 +77,24 @@ def mix_documents(docs: DataFrame, most: int = MOST, weights: int = WEIGHTS, id_
     return plain.unionByName(edge).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "source", "whole")
 
 
+def mixed_rows(docs: DataFrame, most: int = MOST, weights: int = WEIGHTS) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: whole copies, and a last one cut after its words.
+
+    A cut text ends with the last word taken; n_chars follows the text. Rows equal in id and text
+    take what was given to the id together, in equal parts.
+    """
+    plan = written(mix_documents(docs, most, weights), "mix").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
+    plan = plan.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "taken")
+    found = docs.withColumn("_words", word_count(text_or_empty("text"))).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    copies = F.ceil(F.col("taken") / F.col("_size")).cast("int")
+    rows = found.withColumn("_n", F.explode(F.sequence(F.lit(1), copies)))
+    left = (F.col("taken") - (F.col("_n") - 1) * F.col("_size")).cast("int")
+    # words taken, with what stands before each of them
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, left), "")
+    text = F.when(left >= F.col("_size"), F.col("text")).otherwise(cut)
+    return rows.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
 def op5_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -235,6 +235,19 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return rows.mapInArrow(apply, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, passages array<struct<score: double, start: int, end: int>>")
 
 
+def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``limit``."""
+    cast = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def apply(batches):
+        for batch in batches:
+            keep = [cast.value.score(t or "") < limit for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 def op9_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
