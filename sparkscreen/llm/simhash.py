@@ -125,7 +125,8 @@ def near_components(docs_fp: DataFrame, bits: int = BITS, blocks: int = BLOCKS,
     linked = fps.join(roots, F.col("fp") == F.col("u")).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     known = linked.join(least, "root").select(F.col("fp").alias("f"), "least")
-    ids = fps.join(known, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("g"), F.coalesce("least", "first").alias("component_id"))
+    # written, so that the join below is one of two plain shuffles, whose hot fingerprints Spark can split
+    ids = written(fps.join(known, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("g"), F.coalesce("least", "first").alias("component_id")), "ids")
     return docs_fp.join(ids, F.col("fp") == F.col("g")).select("doc_id", "fp", "component_id")
 
 
