@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import small, table, text_or_empty, written
 
 FOLDS = 5
 #: Bounds of what is learnt: labelled documents of each class, and terms of the model.
@@ -128,8 +128,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, model_term
     labelled more than once counts as toxic if any of its labels says so.
     """
     marks = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(fold() != 0)
-    rows = docs.select("doc_id", text_or_empty("text").alias("text")).join(marks, "doc_id")
-    counted, apart = _sampled(marks.filter(fold() != FOLDS - 1), fit_docs), _sampled(marks.filter(fold() == FOLDS - 1), fit_docs // 2)
+    texts = docs.select(F.col("doc_id").alias("d"), text_or_empty("text").alias("text"))
+
+    def drawn(rows: DataFrame, bound: int) -> DataFrame:
+        """Texts of about ``bound`` labelled rows of each class; the ids are few by that bound, so documents stay where they are."""
+        ids = written(_sampled(rows, bound), "sample")
+        return texts.join(small(ids, ids.count()), F.col("d") == F.col("doc_id")).select("text", "toxic")
+
+    counted, apart = drawn(marks.filter(fold() != FOLDS - 1), fit_docs), drawn(marks.filter(fold() == FOLDS - 1), fit_docs // 2)
 
     def count(batches):
         seen: dict[str, list[int]] = {}
@@ -152,8 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, model_term
         names, counts = ["", *seen], [sizes, *seen.values()]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3))], ["term", "clean", "toxic", "contexts"])
 
-    chosen = rows.join(counted.select(F.col("doc_id").alias("d")), F.col("doc_id") == F.col("d"), "left_semi").select("text", "toxic")
-    totals = chosen.mapInArrow(count, "term string, clean long, toxic long, contexts long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("contexts")).alias("contexts"))
+    totals = counted.mapInArrow(count, "term string, clean long, toxic long, contexts long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("contexts")).alias("contexts"))
     totals = written(totals.filter(f"clean + toxic >= {LEAST_DOCS}"), "terms")
     size = totals.filter("term = ''").first()
     if size is None or not size["clean"] or not size["toxic"]:
@@ -178,8 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, model_term
             got = [cast.value.segments(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([sorted((s for s, _, _ in f), reverse=True) for _, f in got], pa.list_(pa.float64()))], ["toxic", "n", "segments"])
 
-    held = rows.join(apart.select(F.col("doc_id").alias("d")), F.col("doc_id") == F.col("d"), "left_semi").select("text", "toxic")
-    sample = held.mapInArrow(measure, "toxic int, n long, segments array<double>").collect()
+    sample = apart.mapInArrow(measure, "toxic int, n long, segments array<double>").collect()
     _calibrate(model, sample, {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()})
     return model
 
