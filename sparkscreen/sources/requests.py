@@ -1,0 +1,158 @@
+"""Requests from texts, turns, raw JSON bodies and fixture files."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..model import MESSAGE, MESSAGES, PART
+
+MAX_BODY = 10 * 1024 * 1024
+
+
+def message(role: Column, text: Column, parts: Column | None = None) -> Column:
+    return F.struct(role.alias("role"), text.alias("text"), (F.lit(None) if parts is None else parts).alias("parts")).cast(MESSAGE)
+
+
+def requests_from_text(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Each row becomes a request with one user message; a null text is an empty one."""
+    return df.withColumn("messages", F.array(message(F.lit("user"), F.coalesce(F.col(text_col), F.lit("")))).cast(MESSAGES))
+
+
+def requests_from_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """One request for each conversation, its messages in turn order. The only shuffle of the engine's main path."""
+    each = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    got = turns.groupBy(id_col).agg(F.array_sort(F.collect_list(each)).alias("_turns"))
+    return got.select(id_col, F.transform("_turns", lambda m: message(m["role"], m["text"])).cast(MESSAGES).alias("messages"))
+
+
+def read_request_bodies(spark: SparkSession, path: str, stream: bool = False, **options: str) -> DataFrame:
+    """Text files with one JSON body a line, as column ``body``."""
+    reader = spark.readStream if stream else spark.read
+    return reader.options(**options).text(path).withColumnRenamed("value", "body")
+
+
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def _map(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _list(v: Column) -> Column:
+    return F.when(_kind(v).startswith("ARRAY<"), F.try_variant_get(v, "$", "array<variant>"))
+
+
+def _string(v: Column) -> Column:
+    """The value of a JSON string; null for every other kind."""
+    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _parsed_parts(content: Column, at: Column) -> Column:
+    def one(p: Column) -> Column:
+        m = _map(p)
+        kind = F.coalesce(_string(m["type"]), F.lit("text"))
+        image = _map(m["image_url"])
+        text = F.struct(F.lit("text").alias("type"), F.when(kind == "text", F.coalesce(_string(m["text"]), F.lit(""))).otherwise("").alias("text"), F.lit(None).alias("image_url")).cast(PART)
+        url = F.struct(F.lit("image_url").alias("type"), F.lit(None).alias("text"), F.struct(F.coalesce(_string(image["url"]), F.lit("")).alias("url"), _string(image["detail"]).alias("detail")).alias("image_url")).cast(PART)
+        bad = F.when(~kind.isin("text", "image_url", "image"), F.concat(F.lit("messages["), at.cast("string"), F.lit("] content part has unsupported type '"), kind, F.lit("'")))
+        return F.struct(F.when(kind == "image_url", url).otherwise(text).alias("part"), bad.alias("error"))
+
+    return F.transform(_list(content), one)
+
+
+def _parsed_message(item: Column, i: Column) -> Column:
+    at = lambda *rest: F.concat(F.lit("messages["), i.cast("string"), *rest)
+
+    def whole(m: Column) -> Column:
+        role, content = _string(m["role"]), m["content"]
+        known = F.when(role == "function", "tool").when(role.isin("system", "user", "assistant", "tool"), role)
+        blank = F.is_variant_null(content) | content.isNull()
+
+        def judged(parts: Column) -> Column:
+            kind = _kind(content)
+            plain = F.when(blank, F.lit("")).otherwise(_string(content))
+            error = (
+                F.when(role.isNull(), at(F.lit("] missing 'role' field")))
+                .when(known.isNull(), at(F.lit("] has unknown role '"), role, F.lit("'")))
+                .when(~F.coalesce(F.map_contains_key(m, "content"), F.lit(False)), at(F.lit("] missing 'content' field")))
+                .when(parts.isNotNull(), F.try_element_at(F.array_compact(F.transform(parts, lambda p: p["error"])), F.lit(1)))
+                .when(~F.coalesce(blank, F.lit(False)) & (F.coalesce(kind, F.lit("")) != "STRING"), at(F.lit("] 'content' has unsupported JSON type: "), F.to_json(content)))
+            )
+            return F.struct(message(known, plain, F.transform(parts, lambda p: p["part"])).alias("message"), error.alias("error"))
+
+        return T.let(_parsed_parts(content, i), judged)
+
+    return T.let(_map(item), whole)
+
+
+def parse_requests(bodies: DataFrame, body_col: str = "body", max_body: int = MAX_BODY, path_col: str | None = None) -> DataFrame:
+    """``bodies`` plus request columns, reject_code and parse_error; a bad body is a row with an error, not a failure.
+
+    request_id and received_at are kept if given, else made here, once. Content that is a string,
+    null or a list of parts is taken; the fields that are not understood go to ``extra``.
+    """
+    df = bodies
+    if "request_id" not in df.columns:
+        df = df.withColumn("request_id", F.expr("uuid()"))
+    if "received_at" not in df.columns:
+        df = df.withColumn("received_at", F.current_timestamp())
+    if "provider" not in df.columns:
+        df = df.withColumn("provider", T.provider_for_path(F.col(path_col)) if path_col else F.lit("openai"))
+    too_large = F.coalesce(F.octet_length(body_col) > max_body, F.lit(False))
+    df = df.withColumn("_map", F.when(~too_large, _map(F.try_parse_json(F.col(body_col)))))
+    listed = _list(F.col("_map")["messages"])
+    df = df.withColumn("_parsed", F.transform(listed, _parsed_message))
+    model = _string(F.col("_map")["model"])
+    error = (
+        F.when(too_large, "request body too large")
+        .when(F.col("_map").isNull() & F.try_parse_json(F.col(body_col)).isNull(), "body is not JSON")
+        .when(model.isNull(), "missing or invalid 'model' field")
+        .when(~F.coalesce(F.map_contains_key("_map", "messages"), F.lit(False)), "missing 'messages' field")
+        .when(F.col("_parsed").isNull(), "'messages' must be an array")
+        .otherwise(F.try_element_at(F.array_compact(F.transform("_parsed", lambda x: x["error"])), F.lit(1)))
+    )
+    stream = F.when(_kind(F.col("_map")["stream"]) == "BOOLEAN", F.try_variant_get(F.col("_map")["stream"], "$", "boolean"))
+    out = df.withColumns({"parse_error": error, "reject_code": F.when(too_large, "payload_too_large").when(error.isNotNull(), "bad_request"), "model": model, "stream": F.coalesce(stream, F.lit(False)), "messages": F.transform("_parsed", lambda x: x["message"]).cast(MESSAGES), "extra": F.map_filter("_map", lambda k, _: ~k.isin("model", "messages", "stream"))})
+    return out.drop("_map", "_parsed")
+
+
+def quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Good requests, and rejected ones with their answer."""
+    bad = parsed.filter(F.col("parse_error").isNotNull())
+    return parsed.filter(F.col("parse_error").isNull()).drop("parse_error", "reject_code"), bad.withColumn("response_body", T.reject_body(F.col("parse_error"), F.col("reject_code")))
+
+
+def json_string(text: Column) -> Column:
+    """A string as JSON text."""
+    quoted = F.to_json(F.array(text))
+    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+
+
+def string_variant(text: Column) -> Column:
+    return F.parse_json(json_string(text))
+
+
+def serialize_request(model: Column, stream: Column, messages: Column, extra: Column) -> Column:
+    """JSON text of a request: extra fields, then model, stream and messages over them."""
+
+    def part(p: Column) -> Column:
+        image = F.to_json(F.struct(p["type"].alias("type"), F.struct(p["image_url"]["url"].alias("url"), p["image_url"]["detail"].alias("detail")).alias("image_url")), {"ignoreNullFields": "false"})
+        return F.when(p["type"] == "image_url", image).otherwise(F.to_json(F.struct(p["type"].alias("type"), F.coalesce(p["text"], F.lit("")).alias("text"))))
+
+    def one(m: Column) -> Column:
+        parts = F.concat(F.lit("["), F.array_join(F.transform(m["parts"], part), ","), F.lit("]"))
+        content = F.when(m["text"].isNotNull() | m["parts"].isNull(), json_string(F.coalesce(m["text"], F.lit("")))).otherwise(parts)
+        return F.concat(F.lit('{"role":'), json_string(m["role"]), F.lit(',"content":'), content, F.lit("}"))
+
+    listed = F.parse_json(F.concat(F.lit("["), F.array_join(F.transform(messages, one), ","), F.lit("]")))
+    own = F.create_map(F.lit("model"), string_variant(model), F.lit("stream"), F.parse_json(stream.cast("string")), F.lit("messages"), listed)
+    others = F.map_filter(F.coalesce(extra, F.create_map().cast("map<string,variant>")), lambda k, _: ~k.isin("model", "stream", "messages"))
+    return F.to_json(F.map_concat(others, own))
+
+
+def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
+    """Files of {description, cases: [...]}: one row for each case."""
+    return spark.read.option("multiLine", True).json(path).select(F.explode("cases").alias("c")).select("c.*")
