@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import small, table, text_or_empty, written
 
-PIECE_WORDS, BLOCK_LOAD, TABLES, TABLE_CELLS, ROUNDS, SUPER = 20, 8, 3, (8, 32, 128), 8, 16
+PIECE_WORDS, BLOCK_LOAD, TABLES, TABLE_CELLS, ROUNDS, SUPER = 32, 8, 3, (8, 32, 128), 8, 16
 _PIECE = rf"\S++(?:[^\S\n]++\S++){{0,{PIECE_WORDS - 1}}}+"
 
 
@@ -38,10 +38,14 @@ def _check(d: Column) -> Column:
     return F.xxhash64(d, F.lit(17))
 
 
-def _falls(d: Column, cell: Column, cells: int) -> Column:
-    """Digest ``d`` falls into ``cell``, counted through all tables of ``cells`` cells."""
-    bits = F.call_function("shiftrightunsigned", d, (F.floor(cell / cells) * 7).cast("int"))
-    return bits.bitwiseAND(F.lit(cells - 1).cast("long")) == F.pmod(cell, F.lit(cells))
+def _places(cells: int) -> Column:
+    """For each cell, counted through all tables: the bits of a digest that choose it, and what they must be."""
+    pairs = [((cells - 1) << 7 * t, c << 7 * t) for t in range(TABLES) for c in range(cells)]
+    return F.arrays_zip(F.lit([m for m, _ in pairs]).cast("array<bigint>").alias("m"), F.lit([v for _, v in pairs]).cast("array<bigint>").alias("v"))
+
+
+def _falls(d: Column, place: Column) -> Column:
+    return d.bitwiseAND(place["m"]) == place["v"]
 
 
 def _cell(c: Column, k: Column, x: Column) -> Column:
@@ -53,26 +57,30 @@ def _none() -> Column:
     return _cell(zero, zero, zero)
 
 
+def _put(a: Column, d: Column, by: Column | int) -> Column:
+    return _cell(a["c"] + by, a["k"].bitwiseXOR(d), a["x"].bitwiseXOR(_check(d)))
+
+
 def sketch(found: Column, cells: int = TABLE_CELLS[0]) -> Column:
     """Array of ``TABLES * cells`` cells."""
-    each = F.sequence(F.lit(0), F.lit(TABLES * cells - 1))
-    add = lambda a, d: _cell(a["c"] + 1, a["k"].bitwiseXOR(d), a["x"].bitwiseXOR(_check(d)))
-    return F.transform(each, lambda c: F.aggregate(F.filter(found, lambda d: _falls(d, c, cells)), _none(), add))
+    return F.transform(_places(cells), lambda p: F.aggregate(F.filter(found, lambda d: _falls(d, p)), _none(), lambda a, d: _put(a, d, 1)))
 
 
-def subtracted(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _cell(x["c"] - y["c"], x["k"].bitwiseXOR(y["k"]), x["x"].bitwiseXOR(y["x"])))
+def subtracted(a: Column, b: Column, cells: int = TABLE_CELLS[0]) -> Column:
+    """The sketch of ``a`` less that of ``b``, each cell as soon as it is made."""
+    cell = lambda found, start, by, p: F.aggregate(F.filter(found, lambda d: _falls(d, p)), start, lambda z, d: _put(z, d, by))
+    return F.transform(_places(cells), lambda p: cell(b, cell(a, _none(), 1, p), -1, p))
 
 
 def peeled(difference: Column, cells: int = TABLE_CELLS[0], rounds: int = ROUNDS) -> Column:
     """The digests that a subtracted sketch holds; null if peeling does not empty it."""
     pure = lambda s: F.array_distinct(F.transform(F.filter(s, lambda y: (F.abs(y["c"]) == 1) & (_check(y["k"]) == y["x"])), lambda y: F.struct(y["k"].alias("k"), y["c"].alias("c"))))
-    out = lambda a, p: _cell(a["c"] - p["c"], a["k"].bitwiseXOR(p["k"]), a["x"].bitwiseXOR(_check(p["k"])))
-    rest = lambda s, ps: F.transform(s, lambda y, i: F.aggregate(F.filter(ps, lambda p: _falls(p["k"], i, cells)), y, out))
-    state = lambda s, f: F.struct(s.alias("s"), f.alias("f"))
-    step = lambda z, _: _let(pure(z["s"]), lambda ps: F.when(F.size(ps) == 0, z).otherwise(state(rest(z["s"], ps), F.concat(z["f"], F.transform(ps, lambda p: p["k"])))))
+    rest = lambda s, ps: F.zip_with(s, _places(cells), lambda y, p: F.aggregate(F.filter(ps, lambda q: _falls(q["k"], p)), y, lambda z, q: _put(z, q["k"], -q["c"])))
+    state = lambda s, f, done: F.struct(s.alias("s"), f.alias("f"), done.alias("done"))
+    round_ = lambda z: _let(pure(z["s"]), lambda ps: F.when(F.size(ps) == 0, state(z["s"], z["f"], F.lit(True))).otherwise(state(rest(z["s"], ps), F.concat(z["f"], F.transform(ps, lambda q: q["k"])), F.lit(False))))
     empty = lambda s: F.forall(s, lambda y: (y["c"] == 0) & (y["k"] == 0) & (y["x"] == 0))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state(difference, F.array().cast("array<bigint>")), step)
+    start = state(difference, F.array().cast("array<bigint>"), F.lit(False))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda z, _: F.when(z["done"], z).otherwise(round_(z)))
     return _let(done, lambda z: F.when(empty(z["s"]), z["f"]))
 
 
@@ -84,7 +92,7 @@ def differing(a: Column, b: Column) -> Column:
     """How many digests are in one of the two arrays only, by sketches, block by block."""
 
     def block(x: Column, y: Column) -> Column:
-        tries = [F.size(peeled(subtracted(sketch(x, c), sketch(y, c)), c)) for c in TABLE_CELLS]
+        tries = [F.size(peeled(subtracted(x, y, c), c)) for c in TABLE_CELLS]
         exact = F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))  # all tables failed: digests alike in all their bits of place
         known = F.when(F.size(x) + F.size(y) == 0, F.lit(0))
         for t in tries:
@@ -120,19 +128,19 @@ def fingerprint(found: Column) -> Column:
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n) of distinct documents -> plus copies, next_id, next_h: descending ids, nulls last, then round to the first."""
+    """(doc_id, k, h, n) of documents -> k, h, n, copies, next_k, next_h: descending ids, nulls last, then round to the first."""
     order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
-    once = docs.groupBy("doc_id", "h").agg(F.first("n").alias("n"), F.count("*").alias("copies"))
+    once = docs.groupBy("k", "h").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
     placed = written(once.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "order")
     in_part = Window.partitionBy("part").orderBy(*order)
-    me = F.struct(F.col("doc_id").alias("id"), F.col("h").alias("h"))
+    me = F.struct("k", "h")
     firsts = placed.withColumn("r", F.row_number().over(in_part)).filter("r = 1").select("part", me.alias("head"))
     # one row for each part
     along = Window.orderBy("part")
     heads = firsts.select("part", F.coalesce(F.lead("head").over(along), F.first("head").over(along)).alias("after"))
     led = placed.withColumn("follows", F.lead(me).over(in_part))
     joined = led.join(small(heads, placed.select("part").distinct().count()), "part")
-    return joined.select("doc_id", "h", "n", "copies", F.coalesce("follows", "after").alias("f")).select("doc_id", "h", "n", "copies", F.col("f.id").alias("next_id"), F.col("f.h").alias("next_h"))
+    return joined.select("k", "h", "n", "copies", F.coalesce("follows", "after").alias("f")).select("k", "h", "n", "copies", F.col("f.k").alias("next_k"), F.col("f.h").alias("next_h"))
 
 
 def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,12 +150,12 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null texts count as empty. Rows equal in id and text are one document, whose row is repeated.
     A single document is its own next. An empty table gives no rows.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    order = written(next_documents(own.select("doc_id", "h", F.char_length("text").alias("n"))), "next")
-    once = own.groupBy("doc_id", "h").agg(F.first("text").alias("text"))
-    before = order.select(F.col("next_id"), F.col("next_h"), F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), F.col("n").alias("to_n"), "copies")
-    heads = once.join(before, F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("h") == F.col("next_h"))).select("to_id", "to_h", "to_n", "copies", F.substring("text", F.lit(1), F.floor(F.col("to_n") / 2).cast("int")).alias("head"), digests(F.col("text")).alias("next_digests"))
-    pairs = once.join(heads, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h")))
+    own = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumns({"k": F.xxhash64("doc_id"), "h": F.xxhash64("text")})
+    order = written(next_documents(own.select("doc_id", "k", "h", F.char_length("text").alias("n"))), "next")
+    once = own.groupBy("k", "h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    before = order.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.col("n").alias("to_n"), "copies")
+    heads = once.join(before, ["k", "h"]).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), "to_n", "copies", F.substring("text", F.lit(1), F.floor(F.col("to_n") / 2).cast("int")).alias("head"), digests(F.col("text")).alias("next_digests"))
+    pairs = once.join(heads, ["k", "h"])
     keep = (F.col("to_n") - F.floor(F.col("to_n") / 2)).cast("int")
     edited = pairs.select("doc_id", F.col("to_n").cast("long").alias("n_chars"), "copies", "next_digests", digests(F.col("text")).alias("own_digests"), F.concat(F.substring("text", F.lit(1), keep), "head").alias("edited"))
     hashed = written(edited.select("doc_id", "n_chars", "copies", F.sha2("edited", 256).alias("edited_sha256"), "own_digests", digests(F.col("edited")).alias("edited_digests"), "next_digests"), "digests")
