@@ -24,8 +24,19 @@ EXACT_WORDS, NEAR_WORDS, FETCH_ROWS = 4, 10, 400_000
 _PLACE = ("doc", "th", "pos")
 
 
+_SPACES = ("  ", "\t", "\r", "\f", "\x0b")
+
+
+def _plain(line: Column) -> Column:
+    """Lower case, words one space apart. Most lines are so already, and only searched for other white space."""
+    odd = F.lit(False)
+    for s in _SPACES:
+        odd = odd | line.contains(s)
+    return F.trim(F.lower(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line)))
+
+
 def _words(line: Column) -> Column:
-    return F.split(F.trim(F.lower(F.regexp_replace(line, r"\s+", " "))), " ")
+    return F.split(_plain(line), " ")
 
 
 def _half(n: Column) -> Column:
@@ -36,13 +47,13 @@ def _half(n: Column) -> Column:
 def _line_table(docs: DataFrame) -> DataFrame:
     """One row for each line of at least EXACT_WORDS words: place, hash, words, keys of the filter."""
     keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text").filter("text <> ''")
-    lines = keyed.select("doc", "th", F.posexplode(F.split("text", "\n"))).withColumn("w", _words(F.col("col"))).withColumn("n", F.size("w")).filter(F.col("n") >= EXACT_WORDS)
+    lines = keyed.select("doc", "th", F.posexplode(F.split("text", "\n"))).withColumn("w", _plain(F.col("col"))).withColumn("n", F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) + 1).filter(F.col("n") >= EXACT_WORDS)
     n, near = F.col("n"), F.col("n") >= NEAR_WORDS
     at_ends = [F.when(near, _half(n)), F.when(near & (_half(n - 1) != _half(n)), _half(n - 1)).when(near & (_half(n + 1) != _half(n)), _half(n + 1))]
     keys = {}
     for i, r in enumerate(at_ends):
-        keys[f"k{2 * i}"] = F.when(r.isNotNull(), F.xxhash64(F.lit("first"), r, F.slice("w", 1, r)))
-        keys[f"k{2 * i + 1}"] = F.when(r.isNotNull(), F.xxhash64(F.lit("last"), r, F.slice("w", n - r + 1, r)))
+        keys[f"k{2 * i}"] = F.when(r.isNotNull(), F.xxhash64(F.lit("first"), r, F.call_function("substring_index", F.col("w"), F.lit(" "), r)))
+        keys[f"k{2 * i + 1}"] = F.when(r.isNotNull(), F.xxhash64(F.lit("last"), r, F.call_function("substring_index", F.col("w"), F.lit(" "), -r)))
     return lines.select("doc", "th", "pos", F.xxhash64("w").alias("h"), "n", *[k.alias(c) for c, k in keys.items()])
 
 
@@ -115,7 +126,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     own = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     gone = repeated_lines(own).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    found = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_th")), "left")
+    # one row for each document that loses lines: too many to broadcast, whatever their number here
+    found = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_th")), "left")
     parts = F.split(text_col, "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     lines = F.when(F.coalesce(F.col(text_col), F.lit("")) == "", 0).otherwise(F.size(parts))
