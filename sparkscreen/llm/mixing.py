@@ -85,7 +85,7 @@ def mixed_rows(docs: DataFrame, most: int = MOST, weights: int = WEIGHTS) -> Dat
     """
     plan = written(mix_documents(docs, most, weights), "mix").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
     plan = plan.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "taken")
-    found = docs.withColumn("_words", word_count(text_or_empty("text"))).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    found = docs.withColumn("_words", word_count(text_or_empty("text"))).join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
     copies = F.ceil(F.col("taken") / F.col("_size")).cast("int")
     rows = found.withColumn("_n", F.explode(F.sequence(F.lit(1), copies)))
     left = (F.col("taken") - (F.col("_n") - 1) * F.col("_size")).cast("int")
