@@ -101,12 +101,13 @@ class ScoreStage(Stage):
         return f"_score_{self.name}"
 
     def scratch(self):
-        return [self._column()]
+        return [self._column(), self._column() + "_given"]
 
     def prepare(self, df, messages, active):
         text = T.role_text(messages, self.roles)
         wanted = active & (F.trim(F.regexp_replace(text, r"(?U)\s+", " ")) != "") if self.skip_blank else active
-        given = F.when(wanted, text)  # a pandas UDF sees every row, so rows that need no score are null
+        df = df.withColumn(self._column() + "_given", F.when(wanted, text))
+        given = F.col(self._column() + "_given")  # a pandas UDF sees every row, so rows that need no score are null
         if not self.batches:
             return df.withColumn(self._column(), F.when(given.isNotNull(), self.scorer(given)).cast("double"))
         scorer = self.scorer
@@ -134,7 +135,8 @@ class ScoreStage(Stage):
         reason = F.format_string(self.label + " score %.3f >= threshold %.3f", score, limit)
         over = finding(self.action, reason, self.code, score=score) if self.action == "block" else finding("allow", score=score, detail=reason)
         broken = finding("block", F.lit(f"Stage '{self.name}' failed."), "policy_violation") if self.on_error == "block" else allow()
-        return F.when(F.isnan(score), broken).when(score >= limit, over).otherwise(finding("allow", score=score))
+        failed = F.col(self._column() + "_given").isNotNull() & (score.isNull() | F.isnan(score))
+        return F.when(failed, broken).when(score >= limit, over).otherwise(finding("allow", score=score))
 
 
 def injection_model(scorer: Scorer, threshold: float = 0.85, **options) -> ScoreStage:

@@ -76,7 +76,9 @@ class Pipeline:
             "stage_trace": F.transform("_ran", lambda x: F.struct(x["stage"].alias("stage"), x["f"]["action"].alias("action"))),
             "stage_details": F.map_from_entries(F.transform(F.filter("_ran", lambda x: x["f"]["detail"].isNotNull()), lambda x: F.struct(x["stage"], x["f"]["detail"]))),
         }
-        return df.withColumns(out).drop("_ran", *scratch)
+        # One row in, one row out: a filter on the decision stops here, instead of being copied with all it stands for below every stage.
+        kept = [c for c in df.columns if c not in ("_ran", *scratch)]
+        return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in out.items()]))))
 
     def check(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """Dry run of texts: decision, reason, code, entities and the redacted text."""

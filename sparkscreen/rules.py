@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import let
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -92,18 +94,18 @@ def matches(rule: Rule, text: Column, folded: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case; the long s and the Kelvin sign, which also match s and k, become these."""
-    return F.translate(F.lower(text), "ſK", "sk")
+    return F.lower(F.when(text.contains("ſ") | text.contains("K"), F.translate(text, "ſK", "sk")).otherwise(text))
 
 
-def first_match(rules: Sequence[Rule], text: Column, folded: Column | None = None) -> Column:
+def first_match(rules: Sequence[Rule], text: Column) -> Column:
     """Least index of a rule that matches, or null. Patterns are plan literals, compiled once a task."""
-    folded = fold(text) if folded is None else folded
     if not rules:
         return F.lit(None).cast("int")
-    return F.coalesce(*[F.when(matches(r, text, folded), F.lit(i)) for i, r in enumerate(rules)])
+    tests = lambda t, folded: F.coalesce(*[F.when(matches(r, t, folded), F.lit(i)) for i, r in enumerate(rules)])
+    return let(F.struct(text.alias("t"), fold(text).alias("f")), lambda x: tests(x["t"], x["f"]))
 
 
-def all_matches(rules: Sequence[Rule], text: Column, folded: Column | None = None) -> Column:
+def all_matches(rules: Sequence[Rule], text: Column) -> Column:
     """Indices of all rules that match, in order."""
-    folded = fold(text) if folded is None else folded
-    return F.array_compact(F.array(*[F.when(matches(r, text, folded), F.lit(i)) for i, r in enumerate(rules)])) if rules else F.array().cast("array<int>")
+    tests = lambda t, folded: F.array_compact(F.array(*[F.when(matches(r, t, folded), F.lit(i)) for i, r in enumerate(rules)]))
+    return let(F.struct(text.alias("t"), fold(text).alias("f")), lambda x: tests(x["t"], x["f"])) if rules else F.array().cast("array<int>")
