@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import small, table, text_or_empty, written
 
-PIECE_WORDS, BLOCK_LOAD, TABLES, TABLE_CELLS, ROUNDS, SUPER = 32, 8, 3, (8, 32, 128), 8, 16
+PIECE_WORDS, BLOCK_LOAD, TABLES, TABLE_CELLS, ROUNDS, SUPER = 36, 8, 3, (8, 32, 128), 8, 16
 _PIECE = rf"\S++(?:[^\S\n]++\S++){{0,{PIECE_WORDS - 1}}}+"
 
 
@@ -128,7 +128,7 @@ def fingerprint(found: Column) -> Column:
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, h, n) of documents -> k, h, n, copies, next_k, next_h: descending ids, nulls last, then round to the first."""
+    """(doc_id, k, h, n) of documents -> doc_id, k, h, n, copies, next_k, next_h: descending ids, nulls last, then round to the first."""
     order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
     once = docs.groupBy("k", "h").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
     placed = written(once.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "order")
@@ -140,7 +140,7 @@ def next_documents(docs: DataFrame) -> DataFrame:
     heads = firsts.select("part", F.coalesce(F.lead("head").over(along), F.first("head").over(along)).alias("after"))
     led = placed.withColumn("follows", F.lead(me).over(in_part))
     joined = led.join(small(heads, placed.select("part").distinct().count()), "part")
-    return joined.select("k", "h", "n", "copies", F.coalesce("follows", "after").alias("f")).select("k", "h", "n", "copies", F.col("f.k").alias("next_k"), F.col("f.h").alias("next_h"))
+    return joined.select("doc_id", "k", "h", "n", "copies", F.coalesce("follows", "after").alias("f")).select("doc_id", "k", "h", "n", "copies", F.col("f.k").alias("next_k"), F.col("f.h").alias("next_h"))
 
 
 def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,9 +152,9 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     own = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumns({"k": F.xxhash64("doc_id"), "h": F.xxhash64("text")})
     order = written(next_documents(own.select("doc_id", "k", "h", F.char_length("text").alias("n"))), "next")
-    once = own.groupBy("k", "h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    before = order.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.col("n").alias("to_n"), "copies")
-    heads = once.join(before, ["k", "h"]).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), "to_n", "copies", F.substring("text", F.lit(1), F.floor(F.col("to_n") / 2).cast("int")).alias("head"), digests(F.col("text")).alias("next_digests"))
+    once = own.groupBy("k", "h").agg(F.first("text").alias("text"))  # both joins read these columns of it, so its shuffle is made once
+    before = order.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.col("n").alias("to_n"), "doc_id", "copies")
+    heads = once.join(before, ["k", "h"]).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), "doc_id", "to_n", "copies", F.substring("text", F.lit(1), F.floor(F.col("to_n") / 2).cast("int")).alias("head"), digests(F.col("text")).alias("next_digests"))
     pairs = once.join(heads, ["k", "h"])
     keep = (F.col("to_n") - F.floor(F.col("to_n") / 2)).cast("int")
     edited = pairs.select("doc_id", F.col("to_n").cast("long").alias("n_chars"), "copies", "next_digests", digests(F.col("text")).alias("own_digests"), F.concat(F.substring("text", F.lit(1), keep), "head").alias("edited"))
