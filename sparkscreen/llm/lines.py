@@ -62,14 +62,15 @@ def _place(prefix: str = "") -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(h, first, words, varied) -> key, owner, h, first: all variants with at most one word deleted."""
+    """(words, varied, o) -> key, owner, o: all variants with at most one word deleted."""
     chain = lambda words: F.aggregate(words, F.array(F.lit(0).cast("long")), lambda acc, w: F.array_append(acc, F.xxhash64(F.element_at(acc, -1), w)))
-    hashed = lines.select("h", "first", "varied", F.size("words").alias("n"), chain(F.col("words")).alias("p"), F.reverse(chain(F.reverse("words"))).alias("s"))
+    hashed = lines.select("o", "varied", F.size("words").alias("n"), chain(F.col("words")).alias("p"), F.reverse(chain(F.reverse("words"))).alias("s"))
     to_n = F.sequence(F.lit(1), F.col("n"))
-    same = F.transform(to_n, lambda i: F.struct(F.xxhash64(F.lit("S"), F.col("n"), i, F.element_at("p", i), F.element_at("s", i + 1)).alias("key"), F.lit(False).alias("owner")))
-    longer = F.transform(to_n, lambda i: F.struct(F.xxhash64(F.lit("D"), F.col("n") - 1, i, F.element_at("p", i), F.element_at("s", i + 1)).alias("key"), F.lit(False).alias("owner")))
-    own = F.transform(F.sequence(F.lit(1), F.col("n") + 1), lambda i: F.struct(F.xxhash64(F.lit("D"), F.col("n"), i, F.element_at("p", i), F.element_at("s", i)).alias("key"), F.lit(True).alias("owner")))
-    return hashed.select("h", "first", F.explode(F.when(F.col("varied"), F.concat(same, longer, own)).otherwise(same)).alias("v")).select("h", "first", "v.key", "v.owner")
+    key = lambda kind, n, i, at: F.xxhash64(F.lit(kind), n, i, F.element_at("p", i), F.element_at("s", at))
+    same = F.transform(to_n, lambda i: F.struct(key("S", F.col("n"), i, i + 1).alias("key"), F.lit(0).alias("owner")))
+    longer = F.transform(to_n, lambda i: F.struct(key("D", F.col("n") - 1, i, i + 1).alias("key"), F.lit(0).alias("owner")))
+    own = F.transform(F.sequence(F.lit(1), F.col("n") + 1), lambda i: F.struct(key("D", F.col("n"), i, i).alias("key"), F.lit(1).alias("owner")))
+    return hashed.select("o", F.explode(F.when(F.col("varied"), F.concat(same, longer, own)).otherwise(same)).alias("v")).select("o", "v.key", "v.owner")
 
 
 def _one_edit(a: str, b: str) -> Column:
@@ -90,16 +91,17 @@ def _near_repeats(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = small(wanted, places.count(), FETCH_ROWS)
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
     fetched = texts.join(wanted, F.col("d").eqNullSafe(F.col("doc")) & (F.col("t") == F.col("th"))).select(F.split("text", "\n").alias("all"), F.explode("lines").alias("l"))
-    lines = written(fetched.select("l.h", "l.first", "l.varied", _words(F.element_at("all", F.col("l.first.pos") + 1)).alias("words")).dropDuplicates(["h"]), "lines")
+    lines = fetched.select("l.h", "l.first", "l.varied", _words(F.element_at("all", F.col("l.first.pos") + 1)).alias("words")).dropDuplicates(["h"])
+    # numbered in the order of their first places, so that what is joined below is numbers only
+    lines = written(lines.orderBy("first").select("h", "varied", "words", F.monotonically_increasing_id().alias("o")), "lines")
     met = _variants(lines)
-    best = lambda owner: F.min(F.when(owner, F.struct("first", "h")))
-    heads = met.groupBy("key").agg(F.count("*").alias("c"), best(F.col("owner")).alias("own"), best(~F.col("owner")).alias("other"), F.bool_or("owner").alias("d")).filter("c > 1")
+    heads = met.groupBy("key").agg(F.count("*").alias("c"), F.min(F.when(F.col("owner") == 1, F.col("o"))).alias("own"), F.min(F.when(F.col("owner") == 0, F.col("o"))).alias("other")).filter("c > 1")
     # S keys have no owner: members are one word apart. D keys: the owner and each of the others are.
-    partner = F.when(~F.col("d"), F.col("other")).when(F.col("owner"), F.col("other")).otherwise(F.col("own"))
-    hits = met.join(written(heads, "heads"), "key").withColumn("p", partner).filter(F.col("p.first") < F.col("first"))
-    pairs = hits.select("h", F.col("p.h").alias("h2")).distinct()
-    a, b = lines.select("h", F.col("words").alias("wa")), lines.select(F.col("h").alias("h2"), F.col("words").alias("wb"))
-    return pairs.join(a, "h").join(b, "h2").filter(_one_edit("wa", "wb")).select("h").distinct()
+    partner = F.when(F.col("own").isNull() | (F.col("owner") == 1), F.col("other")).otherwise(F.col("own"))
+    hits = met.join(written(heads, "heads"), "key").withColumn("o2", partner).filter("o2 < o")
+    pairs = hits.select("o", "o2").distinct()
+    a, b = lines.select("o", "h", F.col("words").alias("wa")), lines.select(F.col("o").alias("o2"), F.col("words").alias("wb"))
+    return pairs.join(a, "o").join(b, "o2").filter(_one_edit("wa", "wb")).select("h").distinct()
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
