@@ -87,6 +87,7 @@ def luhn_valid(candidate: Column) -> Column:
     return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
 
 
+# Field names and types of the answers below.
 def block_body(reason: Column, code: Column, request_id: Column) -> Column:
     error = F.struct(reason.alias("message"), F.lit("guardrail_block").alias("type"), code.alias("code"), request_id.alias("guardrail_request_id"))
     return F.to_json(F.struct(error.alias("error")))
