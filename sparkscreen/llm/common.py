@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import posixpath
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch_path
+
 
 def reach_workers(spark: SparkSession) -> None:
     """Let Python workers import this package where it is not installed (same path, or --py-files)."""
@@ -24,29 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Where that is unset, a local session gets a
-    new temporary folder; a cluster session gets an error, because executors would not see it.
-    """
-    sc = spark.sparkContext
-    set_dir = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return posixpath.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, label)
