@@ -39,7 +39,7 @@ def _may_hold(entity: str, text: Column) -> Column:
     if entity == "ip_address":
         return (text.contains(".") & text.rlike(_DIGITS)) | text.contains(":")
     if entity == "api_key":
-        return text.contains("sk-") | text.contains("gh") | text.contains("Bearer")
+        return text.contains("sk-") | text.contains("ghp_") | text.contains("gho_") | text.contains("ghs_") | text.contains("Bearer")
     if entity == "aws_key":
         return text.contains("AKIA")
     return text.rlike(_DIGITS)
