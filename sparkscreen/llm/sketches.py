@@ -41,7 +41,8 @@ def _check(d: Column) -> Column:
 def _places(cells: int) -> Column:
     """For each cell, counted through all tables: the bits of a digest that choose it, and what they must be."""
     pairs = [((cells - 1) << 7 * t, c << 7 * t) for t in range(TABLES) for c in range(cells)]
-    return F.arrays_zip(F.lit([m for m, _ in pairs]).cast("array<bigint>").alias("m"), F.lit([v for _, v in pairs]).cast("array<bigint>").alias("v"))
+    literal = lambda numbers: F.expr(f"array({', '.join(f'{n}L' for n in numbers)})")
+    return F.arrays_zip(literal(m for m, _ in pairs).alias("m"), literal(v for _, v in pairs).alias("v"))
 
 
 def _falls(d: Column, place: Column) -> Column:
@@ -72,8 +73,8 @@ def subtracted(a: Column, b: Column, cells: int = TABLE_CELLS[0]) -> Column:
     return F.transform(_places(cells), lambda p: cell(b, cell(a, _none(), 1, p), -1, p))
 
 
-def peeled(difference: Column, cells: int = TABLE_CELLS[0], rounds: int = ROUNDS) -> Column:
-    """The digests that a subtracted sketch holds; null if peeling does not empty it."""
+def peeled(difference: Column, cells: int = TABLE_CELLS[0], rounds: int = ROUNDS, use: Callable[[Column], Column] = lambda found: found) -> Column:
+    """``use`` of the digests that a subtracted sketch holds; null if peeling does not empty it."""
     pure = lambda s: F.array_distinct(F.transform(F.filter(s, lambda y: (F.abs(y["c"]) == 1) & (_check(y["k"]) == y["x"])), lambda y: F.struct(y["k"].alias("k"), y["c"].alias("c"))))
     rest = lambda s, ps: F.zip_with(s, _places(cells), lambda y, p: F.aggregate(F.filter(ps, lambda q: _falls(q["k"], p)), y, lambda z, q: _put(z, q["k"], -q["c"])))
     state = lambda s, f, done: F.struct(s.alias("s"), f.alias("f"), done.alias("done"))
@@ -81,7 +82,7 @@ def peeled(difference: Column, cells: int = TABLE_CELLS[0], rounds: int = ROUNDS
     empty = lambda s: F.forall(s, lambda y: (y["c"] == 0) & (y["k"] == 0) & (y["x"] == 0))
     start = state(difference, F.array().cast("array<bigint>"), F.lit(False))
     done = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda z, _: F.when(z["done"], z).otherwise(round_(z)))
-    return _let(done, lambda z: F.when(empty(z["s"]), z["f"]))
+    return _let(done, lambda z: F.when(empty(z["s"]), use(z["f"])))
 
 
 def _in_block(found: Column, block: Column, blocks: Column) -> Column:
@@ -92,12 +93,10 @@ def differing(a: Column, b: Column) -> Column:
     """How many digests are in one of the two arrays only, by sketches, block by block."""
 
     def block(x: Column, y: Column) -> Column:
-        tries = [F.size(peeled(subtracted(x, y, c), c)) for c in TABLE_CELLS]
+        # each is evaluated only if those before it are null
+        tries = [peeled(subtracted(x, y, c), c, use=F.size) for c in TABLE_CELLS]
         exact = F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))  # all tables failed: digests alike in all their bits of place
-        known = F.when(F.size(x) + F.size(y) == 0, F.lit(0))
-        for t in tries:
-            known = F.coalesce(known, F.when(t >= 0, t))
-        return F.coalesce(known, exact)
+        return F.coalesce(F.when(F.size(x) + F.size(y) == 0, F.lit(0)), *tries, exact)
 
     total = lambda over, f: F.aggregate(over, F.lit(0), lambda acc, i: acc + f(i))
     blocks = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / BLOCK_LOAD)).cast("long")
@@ -108,7 +107,7 @@ def differing(a: Column, b: Column) -> Column:
         def in_super(s: Column) -> Column:
             pick = lambda v: F.filter(v, lambda d: F.pmod(F.pmod(F.shiftrightunsigned(d, 24), n), supers) == s)
             own = F.filter(F.sequence(s, n - 1, supers), lambda i: i < n)
-            return _let(F.struct(pick(a).alias("x"), pick(b).alias("y")), lambda v: total(own, lambda i: block(_in_block(v["x"], i, n), _in_block(v["y"], i, n))))
+            return _let(F.struct(pick(a).alias("x"), pick(b).alias("y")), lambda v: total(own, lambda i: _let(F.struct(_in_block(v["x"], i, n).alias("x"), _in_block(v["y"], i, n).alias("y")), lambda w: block(w["x"], w["y"]))))
 
         return total(F.sequence(F.lit(0).cast("long"), supers - 1), in_super)
 
