@@ -37,3 +37,8 @@ def test_crowded_keys_link_only_what_is_similar(spark, monkeypatch, chunk):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, " ".join(t[:-2])) for i, t in enumerate(texts)]
     kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(30))
+
+
+def test_pairs_at_the_limit_are_found(spark):
+    df = twins(spark, 600, 184, 20)  # 160 of 200 shingles
+    assert 1200 - neardup.keep_one(df).count() >= 0.93 * 600
