@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import small, table, text_or_empty, written
 
-EXACT_WORDS, NEAR_WORDS, FETCH_ROWS = 4, 10, 400_000
+EXACT_WORDS, NEAR_WORDS, FETCH_ROWS = 1, 10, 400_000
 _PLACE = ("doc", "th", "pos")
 
 
@@ -45,9 +45,9 @@ def _half(n: Column) -> Column:
 
 
 def _line_table(docs: DataFrame) -> DataFrame:
-    """One row for each line of at least EXACT_WORDS words: place, hash, words, keys of the filter."""
+    """One row for each line that is not blank: place, hash, words, keys of the filter."""
     keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text").filter("text <> ''")
-    lines = keyed.select("doc", "th", F.posexplode(F.split("text", "\n"))).withColumn("w", _plain(F.col("col"))).withColumn("n", F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) + 1).filter(F.col("n") >= EXACT_WORDS)
+    lines = keyed.select("doc", "th", F.posexplode(F.split("text", "\n"))).withColumn("w", _plain(F.col("col"))).withColumn("n", F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) + 1).filter((F.col("w") != "") & (F.col("n") >= EXACT_WORDS))
     n, near = F.col("n"), F.col("n") >= NEAR_WORDS
     at_ends = [F.when(near, _half(n)), F.when(near & (_half(n - 1) != _half(n)), _half(n - 1)).when(near & (_half(n + 1) != _half(n)), _half(n + 1))]
     keys = {}
@@ -121,8 +121,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, the text without its repeated lines, plus lines_before and lines_gone.
 
-    Lines end at a line feed. Those of fewer than EXACT_WORDS words always stay; those of fewer than
-    NEAR_WORDS go only if repeated word for word. A null text stays null. Ids that repeat with other
+    Lines end at a line feed. Blank ones always stay; those of fewer than NEAR_WORDS words go only if
+    repeated word for word. A null text stays null. Ids that repeat with other
     texts are ordered by the hash of the text; null ids come last; rows equal in id and text lose the
     same lines.
     """

@@ -5,7 +5,7 @@ import random
 import pytest
 
 pytest.importorskip("sparkscreen.llm.queries")
-from sparkscreen.llm import neardup  # noqa: E402
+from sparkscreen.llm import lines, neardup  # noqa: E402
 from sparkscreen.llm.common import reach_workers  # noqa: E402
 
 
@@ -42,3 +42,9 @@ def test_crowded_keys_link_only_what_is_similar(spark, monkeypatch, chunk):
 def test_pairs_at_the_limit_are_found(spark):
     df = twins(spark, 600, 184, 20)  # 160 of 200 shingles
     assert 1200 - neardup.keep_one(df).count() >= 0.93 * 600
+
+
+def test_short_lines_that_repeat_go(spark):
+    rows = [(1, "Les.\nErheed. Titionly.\n\nles.\n \nsome longer line of words"), (2, "Les.\nErheed. Titionly.\n\nles.\n \nsome longer line of words"), (3, "erheed.  titionly.\nless."), (4, "Les.\n"), (5, "")]
+    got = {r["doc_id"]: (r["text"], r["lines_gone"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("Les.\nErheed. Titionly.\n\n \nsome longer line of words", 1), 2: ("\n ", 4), 3: ("less.", 1), 4: ("", 1), 5: ("", 0)}
