@@ -5,7 +5,7 @@ import random
 import pytest
 
 pytest.importorskip("sparkscreen.llm.queries")
-from sparkscreen.llm import lines, neardup  # noqa: E402
+from sparkscreen.llm import lines, neardup, sketches  # noqa: E402
 from sparkscreen.llm.common import reach_workers  # noqa: E402
 
 
@@ -48,3 +48,9 @@ def test_short_lines_that_repeat_go(spark):
     rows = [(1, "Les.\nErheed. Titionly.\n\nles.\n \nsome longer line of words"), (2, "Les.\nErheed. Titionly.\n\nles.\n \nsome longer line of words"), (3, "erheed.  titionly.\nless."), (4, "Les.\n"), (5, "")]
     got = {r["doc_id"]: (r["text"], r["lines_gone"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("Les.\nErheed. Titionly.\n\n \nsome longer line of words", 1), 2: ("\n ", 4), 3: ("less.", 1), 4: ("", 1), 5: ("", 0)}
+
+
+def test_a_short_line_is_like_its_edited_version(spark):
+    rows = [(1, " ".join(f"a{i:02}" for i in range(50))), (2, " ".join(f"b{i:02}" for i in range(50)))]
+    got = sketches.compare_versions(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["near_edited"] for r in got] == [pytest.approx(1 / 3)] * 2  # one piece of three is kept
