@@ -34,6 +34,7 @@ _ATTR = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template", "svg", "select", "object")}
+_IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 _ENDS_P = frozenset("address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table ul".split())
@@ -73,6 +74,8 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         raw, name = m[4], m[2]
         if raw is not None:
+            if stack and stack[-1][0] == "head" and not raw.isspace():
+                close(len(stack) - 1)
             held.append((html.unescape(raw), any(t == "a" for t, _ in stack)))
             continue
         if name is None:
@@ -83,6 +86,12 @@ def blocks(page: str) -> list[Block]:
             if to is not None:
                 close(to)
             continue
+        # a head whose end tag is left out ends at the first thing that may not stand in it
+        if stack and stack[-1][0] == "head":
+            if name not in _IN_HEAD:
+                close(len(stack) - 1)
+            elif name == "head":
+                continue
         if name in _RAW:
             if not m[0].endswith("/>"):
                 end = _RAW[name].search(page, at)

@@ -5,7 +5,7 @@ import random
 import pytest
 
 pytest.importorskip("sparkscreen.llm.queries")
-from sparkscreen.llm import lines, neardup, sketches  # noqa: E402
+from sparkscreen.llm import html_text, lines, neardup, sketches  # noqa: E402
 from sparkscreen.llm.common import reach_workers  # noqa: E402
 
 
@@ -54,3 +54,10 @@ def test_a_short_line_is_like_its_edited_version(spark):
     rows = [(1, " ".join(f"a{i:02}" for i in range(50))), (2, " ".join(f"b{i:02}" for i in range(50)))]
     got = sketches.compare_versions(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r["near_edited"] for r in got] == [pytest.approx(1 / 3)] * 2  # one piece of three is kept
+
+
+@pytest.mark.parametrize("head", ["<head><meta charset=utf-8><title>T</title><link rel=x><body>", "<head><title>T</title>\n<style>p {}</style>", "<head><title>T</title></head><body>", "<head><head><title>T</title><body>"])
+def test_head_without_its_end_tag(head):
+    found = html_text.blocks(f"<!doctype html><html>{head}<article><h1>A</h1><p>Words of it.</p></article>")
+    assert [b.text for b in found] == ["A", "Words of it."]
+    assert html_text.blocks("<head><title>T</title>Bare words<p>and more")[0].text == "Bare words"
