@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import scratch_path, table, text_or_empty
 from .tokens import BYTE_FILE, encoder, tokenizer_path
 
-END_ID, DOCS_PER_BATCH = 2, 4096
+END_ID, DOCS_PER_BATCH, DOCS_PER_WRITE = 2, 1024, 256
 
 
 @dataclass(frozen=True)
@@ -63,12 +63,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = stack.enter_context(store.open_output_stream(own + ".ids"))
-                lengths = []
-                for text in batch.column(1).to_pylist():
-                    ids = np.frombuffer(enc.encode(text) + end, "<u4")
-                    out.write(ids.astype(f"<u{width}").tobytes())
-                    lengths.append(len(ids))
-                offsets.append((total + np.cumsum(lengths)).astype("<u8"))
+                found = [enc.encode(text) + end for text in batch.column(1).to_pylist()]
+                for at in range(0, len(found), DOCS_PER_WRITE):
+                    out.write(np.frombuffer(b"".join(found[at : at + DOCS_PER_WRITE]), "<u4").astype(f"<u{width}").tobytes())
+                offsets.append((total + np.cumsum([len(ids) // 4 for ids in found])).astype("<u8"))
                 total = int(offsets[-1][-1])
                 ids_of_docs.append(batch.column(0))
         if out is None:
@@ -123,9 +121,10 @@ def read_token_files(spark: SparkSession, files: TokenFiles, keep_ids: bool = Fa
                     for k in range(docs.num_record_batches):
                         part = docs.get_batch(k)
                         ends = offsets[at : at + part.num_rows + 1]
-                        raw = [ids[s:e].astype("<u4").tobytes() for s, e in itertools.pairwise(ends.tolist())]
-                        cols = [part.column(0), pa.array(base + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
-                        yield pa.RecordBatch.from_arrays(cols + [pa.array(raw, pa.binary())] * keep_ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids)
+                        whole = memoryview(ids[ends[0] : ends[-1]].astype("<u4").tobytes())
+                        raw = [whole[s:e] for s, e in itertools.pairwise((4 * (ends - ends[0])).tolist())]
+                        cols = [part.column(0), pa.array(base + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(list(map(zlib.crc32, raw)), pa.int64())]
+                        yield pa.RecordBatch.from_arrays(cols + [pa.array(list(map(bytes, raw)), pa.binary())] * keep_ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids)
                         at += part.num_rows
 
     parts = spark.createDataFrame([(n, b) for n, _, _, b in files.parts], "name string, base long")

@@ -53,19 +53,37 @@ def texts(docs):
 def library(name, text):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.tokenizer_path(name))
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    if name not in LIBRARY:
+        LIBRARY[name] = Tokenizer.from_file(tokens.tokenizer_path(name))
+    return LIBRARY[name].encode(text, add_special_tokens=False).ids
+
+
+LIBRARY = {}
 
 
 @pytest.mark.parametrize("name", [tokens.WORD_FILE, tokens.BYTE_FILE])
 def test_cached_ids_are_the_library_s(name, texts):
-    enc = tokens.CachedEncoder(tokens.tokenizer_path(name), limit=500)
+    enc = tokens.CachedEncoder(tokens.tokenizer_path(name), cache_bytes=100_000)
     odd = [r[1] or "" for r in ODD] + ["a  b", " a", "a ", "a\tb  c", "a\n\nb", "\x1ca\x1fb", "İI ΑΣ", "x" * 5000, "don't 'S we'LL", "é é", "1234 ½"]
     for t in [*odd, *list(texts.values())[:40]]:
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == library(name, t), t[:50]
 
 
+@pytest.mark.parametrize("name", [tokens.WORD_FILE, tokens.BYTE_FILE])
+def test_ids_of_random_strings_are_the_library_s(name):
+    """Parts that have gone wrong, or could, put together at random; the call has no switch but the contract's."""
+    draw, enc = random.Random(4), tokens.CachedEncoder(tokens.tokenizer_path(name), cache_bytes=50_000)
+    parts = [*"ab1.,!_\t\r\0\x0b\x1c\x85\xa0", *"\n\n\n    ", "Hello", "'s", "23", "é", "ß", "İ", "ſ", "ǅ", "²", "ж", "漢", "e\u0301", "\u2002", "\u3000", "\u200b", "😀", "<|endoftext|>", "<|startoftext|>"]
+    for _ in range(5000):
+        t = "".join(draw.choice(parts) for _ in range(draw.randint(0, 14)))
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == library(name, t), repr(t)
+
+
+def test_special_tokens_as_text():
+    enc = tokens.CachedEncoder(tokens.tokenizer_path(tokens.BYTE_FILE), special_as_text=True)
+    assert 50256 not in np.frombuffer(enc.encode("a <|endoftext|>"), "<u4") and 50256 in library(tokens.BYTE_FILE, "a <|endoftext|>")
+
+
 # ---- 1 ----
 
 
