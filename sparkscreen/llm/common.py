@@ -30,9 +30,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int, bound: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows are within the bound, else as it is."""
-    return F.broadcast(df) if rows <= bound else df
+#: A side is broadcast up to so many bytes.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows, of about ``row_bytes`` each, are within the bound, else as it is."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, or with underscores behind it, so that no column is called so."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_or_empty(col: str | Column) -> Column:

@@ -309,7 +309,7 @@ def brute_lines(rows):
     for d, t in rows:
         for p, line in enumerate((t or "").split("\n")):
             w = tuple(re.sub(r"[ \t\x0b\f\r]+", " ", line).lower().strip(" ").split(" "))
-            if len(w) >= lines.EXACT_WORDS:
+            if w != ("",):
                 occ.append((d, p, w))
     for d, p, w in sorted(occ, key=lambda x: x[:2]):
         first.setdefault(w, (d, p))
