@@ -215,7 +215,7 @@ def test_overfull_ranges_are_cut_again(spark):
 
 def test_mix_equals_sql(docs, odd, none):
     con = duckdb.connect()
-    for df in (docs, odd.dropDuplicates(["doc_id"])):
+    for df in (docs, odd):
         con.register("documents", df.select("doc_id", "text", "source").toArrow())
         got = sorted(map(tuple, mixing.mix_documents(df).select("doc_id", "size", "source_size", "target", "taken").collect()), key=str)
         want = sorted(con.sql(mixing.OP5_SQL).fetchall(), key=str)
@@ -233,6 +233,28 @@ def test_mixed_rows_hold_the_words_taken(docs):
     assert rows == {d: n for d, n in taken.items() if n}
 
 
+def test_mixed_rows_of_repeated_rows_and_other_names(odd, spark):
+    extra = odd.withColumns({c: F.lit(7) for c in ("k", "z", "taken", "copy", "plan", "size", "_n", "_words")}).drop("n_chars")
+    twice = extra.unionByName(extra)
+    want = mixing.mix_documents(twice).groupBy("doc_id").agg(F.sum("taken")).filter("sum(taken) > 0").collect()
+    got = mixing.mixed_rows(twice)
+    assert got.columns == extra.columns and all(r["taken"] == r["k"] == r["_n"] == 7 for r in got.collect())
+    assert sorted(map(tuple, got.groupBy("doc_id").agg(F.sum(mixing.word_count(F.col("text")))).collect()), key=str) == sorted(map(tuple, want), key=str)
+
+
+def test_inclusion_rates_are_the_probabilities(spark):
+    """Sources that hold the same sizes are so many draws."""
+    sizes, draws = [1, 2, 2, 3, 5, 8, 13, 20, 20, 40], 900
+    rows = [(100 * s + i, "w " * n, f"s{s:04d}") for s in range(draws) for i, n in enumerate(sizes)]
+    found = mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).withColumn("more", F.col("taken") - F.col("whole") * F.col("size"))
+    rates = found.groupBy("size", "p", (F.substring("source", 2, 4).cast("int") % 3).alias("w"), "whole").agg(F.avg(F.col("more") / F.col("size")).alias("rate"), F.sum("more").alias("words"), F.sum(F.col("p") * F.col("size")).alias("want")).collect()
+    assert len({r["w"] for r in rates}) == 3 and any(r["p"] == 1 for r in rates) and any(0 < r["p"] < 0.9 for r in rates)
+    for r in rates:
+        assert abs(r["rate"] - r["p"]) < 0.09, r
+    for w in range(3):
+        assert sum(r["words"] for r in rates if r["w"] == w) == pytest.approx(sum(r["want"] for r in rates if r["w"] == w), rel=0.02)
+
+
 # ---- 4 ----
 
 
