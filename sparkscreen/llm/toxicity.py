@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from .common import small, table, text_or_empty, written
 
 FOLDS = 5
-#: Bounds of what is learnt: labelled documents of each class, and terms of the model.
-FIT_DOCS, MODEL_TERMS = 6_000, 20_000
+#: Bound of what is learnt from: labelled documents of each class. Words that a worker keeps scores of.
+FIT_DOCS, CACHE_WORDS = 6_000, 200_000
 PREFIXES, LEAST_DOCS, LEAST_Z, LEAST_CONTEXTS, PRIOR, DRIFT, P_VALUE = range(4, 11), 3, 3.0, 4, 50.0, 0.03, 0.05
+LEAST_BITS, MOST_BITS = -5.0, 15.0
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -56,7 +57,7 @@ class Model:
     def word_score(self, token: str) -> float:
         word = _EDGE.sub("", token.lower())
         found = next((self.scores[t] for t in terms(word) if t in self.scores), -DRIFT) if word else 0.0
-        if len(self.cache) > 1_000_000:
+        if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         self.cache[token] = found
         return found
@@ -67,20 +68,20 @@ class Model:
         at = [(i, s) for i, s in enumerate([known[w] if w in known else self.word_score(w) for w in words]) if s != -DRIFT]
         return len(words), maximal_segments(at)
 
-    def evidence(self, text: str) -> tuple[int, float, list[float]]:
-        """Words, score of the best segment, and the log-evidence of each significant one."""
-        n, found = self.segments(text)
-        bits = [self.scale * s - self.log_k - math.log(n) for s, _, _ in found]
-        return n, max((s for s, _, _ in found), default=0.0), [b for b in bits if b > -math.log(P_VALUE)]
+    def bits(self, score: float, words: int) -> float:
+        """Log-evidence of a segment: how far its score is beyond what a clean text of that length has."""
+        return self.scale * score - self.log_k - math.log(words)
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        n, best, bits = self.evidence(text)
-        top = self.scale * best - self.log_k - math.log(n) if best > 0 else -5.0
-        return 1.0, min(max(top, -5.0), 15.0), math.log1p(sum(bits))
+    def judge(self, text: str) -> tuple[float, list[tuple[float, int, int]]]:
+        """Probability, and the significant segments."""
+        n, found = self.segments(text)
+        told = [(x, self.bits(x[0], n)) for x in found]
+        top, significant = max((b for _, b in told), default=LEAST_BITS), [(x, b) for x, b in told if b > -math.log(P_VALUE)]
+        z = float(np.dot(self.curve, (1.0, min(max(top, LEAST_BITS), MOST_BITS), math.log1p(sum(b for _, b in significant)))))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z)))), [x for x, _ in significant]
 
     def score(self, text: str) -> float:
-        z = float(np.dot(self.curve, self.features(text)))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+        return self.judge(text)[0]
 
 
 def maximal_segments(scored: list[tuple[int, float]]) -> list[tuple[float, int, int]]:
@@ -121,11 +122,12 @@ def _sampled(rows: DataFrame, bound: int) -> DataFrame:
     return rows.filter(keep)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, model_terms: int = MODEL_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     """Fits on labelled rows outside fold 0. Without labels of both classes every score is 0.
 
-    The driver receives at most ``model_terms`` terms and twice ``fit_docs`` short rows. A document
-    labelled more than once counts as toxic if any of its labels says so.
+    About ``fit_docs`` labelled documents of each class are counted and half as many are used for calibration, drawn by a
+    hash of the id; the driver receives the toxic terms of these and two numbers for each of the latter. A document
+    labelled more than once counts as toxic if any of its labels says so. Empty tables give a model that scores 0.
     """
     marks = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(fold() != 0)
     texts = docs.select(F.col("doc_id").alias("d"), text_or_empty("text").alias("text"))
@@ -168,12 +170,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, model_term
     a0, a1 = F.col("clean") + PRIOR * share + 0.5, F.col("toxic") + PRIOR * share + 0.5
     odds = F.log(a1 / (F.lit(n1 + PRIOR + 1) - a1)) - F.log(a0 / (F.lit(n0 + PRIOR + 1) - a0))
     told = totals.filter("term <> ''").select("term", "contexts", odds.alias("odds"), (odds / F.sqrt(1 / a1 + 1 / a0)).alias("z"))
-    strong = told.filter((F.col("z") >= LEAST_Z) & (F.col("odds") > 1) & (F.col("contexts") >= LEAST_CONTEXTS)).orderBy(F.col("z").desc(), "term").limit(model_terms // 2)
+    strong = told.filter((F.col("z") >= LEAST_Z) & (F.col("odds") > 1) & (F.col("contexts") >= LEAST_CONTEXTS))
     scores = {r["term"]: r["odds"] for r in strong.collect()}
     heads = sorted({t[: PREFIXES[0]] for t in scores if not t.endswith("$")})
     if heads:
         # longer terms that begin like a strong one but are not toxic themselves: they are not taken for their stem
-        plain = told.filter(F.substring("term", 1, PREFIXES[0]).isin(heads) & (F.col("z") < LEAST_Z / 2)).orderBy("z", "term").limit(model_terms // 2)
+        plain = told.filter(F.substring("term", 1, PREFIXES[0]).isin(heads) & (F.col("z") < LEAST_Z / 2))
         scores = {r["term"]: -DRIFT for r in plain.collect()} | scores
     model = Model(scores)
     cast = docs.sparkSession.sparkContext.broadcast(model)
@@ -181,31 +183,28 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, model_term
     def measure(batches):
         for batch in batches:
             got = [cast.value.segments(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([sorted((s for s, _, _ in f), reverse=True) for _, f in got], pa.list_(pa.float64()))], ["toxic", "n", "segments"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([[s for s, _, _ in f] for _, f in got], pa.list_(pa.float64()))], ["toxic", "n", "segments"])
 
-    sample = apart.mapInArrow(measure, "toxic int, n long, segments array<double>").collect()
+    sample = written(apart.mapInArrow(measure, "toxic int, n long, segments array<double>"), "segments")
     _calibrate(model, sample, {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()})
     return model
 
 
-def _calibrate(model: Model, sample: list, sizes: dict[int, int]) -> None:
-    """Extreme-value law from the tail of clean documents' segments, then the logistic curve by Newton steps."""
-    scores = np.array([s for r in sample if r["toxic"] == 0 for s in r["segments"]])
-    words = sum(r["n"] for r in sample if r["toxic"] == 0)
-    if len(scores) >= 10:
-        least = float(scores.min())
-        model.scale = min(max(1 / max(1e-3, float(scores.mean()) - least), 0.2), 3.0)
-        model.log_k = math.log(len(scores) / words) + model.scale * least
-    rows, labels = [], []
-    for r in sample:
-        n = max(1, r["n"])
-        bits = [model.scale * s - model.log_k - math.log(n) for s in r["segments"]]
-        top = min(max(bits[0], -5.0), 15.0) if bits else -5.0
-        rows.append((1.0, top, math.log1p(sum(b for b in bits if b > -math.log(P_VALUE)))))
-        labels.append(r["toxic"])
-    if len(set(labels)) < 2:
+def _calibrate(model: Model, sample: DataFrame, sizes: dict[int, int]) -> None:
+    """Extreme-value law from the sums of clean documents' segments, then the logistic curve by Newton steps."""
+    clean = sample.filter("toxic = 0")
+    tail = clean.select(F.explode("segments").alias("s")).agg(F.count("*").alias("n"), F.avg("s").alias("mean"), F.min("s").alias("least")).first()
+    words = clean.agg(F.sum("n")).first()[0]
+    if tail["n"] >= 10:
+        model.scale = min(max(1 / max(1e-3, tail["mean"] - tail["least"]), 0.2), 3.0)
+        model.log_k = math.log(tail["n"] / words) + model.scale * tail["least"]
+    bits = F.transform("segments", lambda s: F.lit(model.scale) * s - model.log_k - F.log(F.greatest(F.col("n"), F.lit(1))))
+    top = F.greatest(F.least(F.coalesce(F.array_max("bits"), F.lit(LEAST_BITS)), F.lit(MOST_BITS)), F.lit(LEAST_BITS))
+    significant = F.aggregate(F.filter("bits", lambda b: b > -math.log(P_VALUE)), F.lit(0.0), lambda a, b: a + b)
+    rows = sorted(map(tuple, sample.select("toxic", bits.alias("bits")).select("toxic", top, F.log1p(significant)).collect()))
+    if len({r[0] for r in rows}) < 2:
         return
-    x, y = np.array(rows), np.array(labels, float)
+    x, y = np.array([(1.0, a, b) for _, a, b in rows]), np.array([t for t, _, _ in rows], float)
     weight = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (len(y) - y.sum()))
     weight /= weight.mean()
     w = np.array([-2.0, 0.5, 0.1])
@@ -220,20 +219,18 @@ def _calibrate(model: Model, sample: list, sizes: dict[int, int]) -> None:
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, passages: the significant segments as (score, first word, end word).
 
-    Null and blank texts have no segment and get the lowest score. Repeated rows are scored alike.
+    Null and blank texts have no segment and get the lowest score. Repeated rows are scored alike. Texts
+    are read whole, in linear time whatever their length; an empty table gives no rows.
     """
     cast = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = pa.list_(pa.struct([("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def apply(batches):
-        m = cast.value
         for batch in batches:
-            scores, passages = [], []
-            for text in batch.column(1).to_pylist():
-                scores.append(m.score(text))
-                n, found = m.segments(text)
-                passages.append([{"score": s, "start": a, "end": b} for s, a, b in found if m.scale * s - m.log_k - math.log(n) > -math.log(P_VALUE)])
+            judged = [cast.value.judge(t) for t in batch.column(1).to_pylist()]
+            scores = [p for p, _ in judged]
+            passages = [[{"score": s, "start": a, "end": b} for s, a, b in found] for _, found in judged]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(passages, kind)], ["doc_id", "score", "passages"])
 
     return rows.mapInArrow(apply, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, passages array<struct<score: double, start: int, end: int>>")
