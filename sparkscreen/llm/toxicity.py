@@ -33,8 +33,8 @@ from .common import small, table, text_or_empty, written
 FOLDS = 5
 #: Bound of what is learnt from: labelled documents of each class. Words that a worker keeps scores of.
 FIT_DOCS, CACHE_WORDS = 6_000, 200_000
-PREFIXES, LEAST_DOCS, LEAST_Z, LEAST_CONTEXTS, PRIOR, DRIFT, P_VALUE = range(4, 11), 3, 3.0, 4, 50.0, 0.03, 0.05
-LEAST_BITS, MOST_BITS = -5.0, 15.0
+PREFIXES, LEAST_DOCS, LEAST_Z, LEAST_CONTEXTS, PRIOR, DRIFT, P_VALUE = range(4, 11), 3, 3.0, 8, 50.0, 0.03, 0.05
+PLAIN_Z, LEAST_BITS, MOST_BITS = 0.5, -5.0, 15.0
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -174,8 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     scores = {r["term"]: r["odds"] for r in strong.collect()}
     heads = sorted({t[: PREFIXES[0]] for t in scores if not t.endswith("$")})
     if heads:
-        # longer terms that begin like a strong one but are not toxic themselves: they are not taken for their stem
-        plain = told.filter(F.substring("term", 1, PREFIXES[0]).isin(heads) & (F.col("z") < LEAST_Z / 2))
+        # longer terms that begin like a strong one but lean to the clean side: they are not taken for their stem
+        plain = told.filter(F.substring("term", 1, PREFIXES[0]).isin(heads) & (F.col("z") < PLAIN_Z))
         scores = {r["term"]: -DRIFT for r in plain.collect()} | scores
     model = Model(scores)
     cast = docs.sparkSession.sparkContext.broadcast(model)
@@ -209,10 +209,13 @@ def _calibrate(model: Model, sample: DataFrame, sizes: dict[int, int]) -> None:
     weight /= weight.mean()
     w = np.array([-2.0, 0.5, 0.1])
     ridge = np.diag([1e-3, 0.05, 0.05])
-    for _ in range(50):
+    loss = lambda v: float(weight @ np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ v)) + v @ ridge @ v / 2)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
-        w += np.clip(step, -2, 2)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:  # a whole step may overshoot
+            step /= 2
+        w += step
     model.curve = tuple(float(v) for v in w)
 
 
