@@ -391,9 +391,49 @@ def redactions_joined(spark, sf_dir):
     return ran.select("conv_id", "decision", "reason", F.array_join("entities", ",").alias("entities"))
 
 
-@query(f"WITH {_VIEWS} SELECT conv_id, 'block' AS decision, 'policy_violation' AS code FROM conv")
+def _flaky(on_error: str) -> S.ScoreStage:
+    """A scorer that raises on texts of a multiple of seven signs and gives others the last two digits of their length."""
+
+    def scorer(batches):
+        for texts in batches:
+            n = texts.str.len()
+            if (n % 7 == 0).any():
+                raise ValueError("no score for such a length")
+            yield n % 100 / 100.0
+
+    return S.ScoreStage(scorer, 0.5, "custom", "Length", name="flaky", batches=True, on_error=on_error)
+
+
+_FLAKY_SQL = """WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents)
+SELECT doc_id, CASE WHEN n % 7 = 0 THEN '{failed}' WHEN n % 100 >= 50 THEN 'block' ELSE 'allow' END AS decision,
+  CASE WHEN n % 7 = 0 THEN {code} WHEN n % 100 >= 50 THEN 'custom' END AS code, CASE WHEN n % 7 <> 0 AND n % 100 >= 50 THEN n % 100 / 100.0::DOUBLE END AS score FROM d"""
+
+
+@query(_FLAKY_SQL.format(failed="allow", code="NULL"))
+def fail_open(spark, sf_dir):
+    ran = Pipeline([_flaky("allow")]).run(Q.requests_from_text(_t(spark, sf_dir, "documents")))
+    return ran.select("doc_id", "decision", "code", "score")
+
+
+@query(_FLAKY_SQL.format(failed="block", code="'policy_violation'"))
 def fail_closed(spark, sf_dir):
-    return Pipeline([S.Failing(on_error="block")]).run(_convs(spark, sf_dir)).select("conv_id", "decision", "code")
+    ran = Pipeline([_flaky("block")]).run(Q.requests_from_text(_t(spark, sf_dir, "documents")))
+    return ran.select("doc_id", "decision", "code", "score")
+
+
+_PII_TEXT = f"t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, regexp_matches(t, {_quoted(P.PATTERNS['email'])}) AS email, regexp_matches(regexp_replace(t, {_quoted(P.PATTERNS['email'])}, '[EMAIL]', 'g'), {_quoted(P.PATTERNS['ssn'])}) AS ssn FROM t), n AS (SELECT doc_id, array_to_string(list_filter([CASE WHEN email THEN 'email' END, CASE WHEN ssn THEN 'ssn' END], lambda x: x IS NOT NULL), ', ') AS names FROM f)"
+
+
+@query(f"WITH {_PII_TEXT} SELECT doc_id, CASE WHEN names <> '' THEN 'block' ELSE 'allow' END AS decision, CASE WHEN names <> '' THEN 'PII detected: ' || names END AS reason, CASE WHEN names <> '' THEN 'policy_violation' END AS code FROM n")
+def pii_block(spark, sf_dir):
+    ran = Pipeline([S.PiiRedactor(("email", "ssn"), action="block")]).run(Q.requests_from_text(_t(spark, sf_dir, "documents")))
+    return ran.select("doc_id", "decision", "reason", "code")
+
+
+@query(f"WITH {_PII_TEXT} SELECT d.doc_id, 'allow' AS decision, CASE WHEN names <> '' THEN names END AS found, coalesce(text, '') AS text FROM n JOIN documents d ON n.doc_id = d.doc_id")
+def pii_log_only(spark, sf_dir):
+    ran = Pipeline([S.PiiRedactor(("email", "ssn"), action="log_only")]).run(Q.requests_from_text(_t(spark, sf_dir, "documents")))
+    return ran.select("doc_id", "decision", F.try_element_at("stage_details", F.lit("pii_redactor")).alias("found"), T.all_text(F.col("messages")).alias("text"))
 
 
 CONFIG = """
@@ -531,11 +571,11 @@ def serialize_requests(spark, sf_dir):
     return out.select("doc_id", at("$.model").alias("model"), at("$.temperature").alias("temperature"), at("$.messages[0].content").alias("first_content"), second.alias("second_content"))
 
 
-@query("SELECT page_id, strlen(html) > 3000 AS rejected, CASE WHEN strlen(html) > 3000 THEN 'payload_too_large' END AS code FROM pages")
+@query("SELECT page_id, strlen(html) > 3000 AS rejected, CASE WHEN strlen(html) > 3000 THEN 'payload_too_large' ELSE 'bad_request' END AS code FROM pages")
 def size_gate(spark, sf_dir):
-    p = _t(spark, sf_dir, "pages")
-    over = F.octet_length("html") > 3000
-    return p.select("page_id", over.alias("rejected"), F.when(over, "payload_too_large").alias("code"))
+    """Pages are no JSON, so those that pass the gate are bad requests."""
+    p = Q.parse_requests(_t(spark, sf_dir, "pages").select("page_id", "html"), body_col="html", max_body=3000)
+    return p.select("page_id", (F.col("reject_code") == "payload_too_large").alias("rejected"), F.col("reject_code").alias("code"))
 
 
 @query("SELECT page_id, CASE WHEN starts_with(path, '/v1/messages') THEN 'anthropic' ELSE 'openai' END AS provider FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '/v1/messages' ELSE '/v1/chat' END || url AS path FROM pages)")
@@ -708,6 +748,53 @@ def decision_rate_5m(spark, sf_dir):
     return M.window_rate(_t(spark, sf_dir, "events"), "ts", ["event_type"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+# Windows of five minutes that begin every half minute hold each event ten times.
+_SLIDING = "e AS (SELECT *, time_bucket(INTERVAL 30 SECONDS, ts) - k * INTERVAL 30 SECONDS AS window_start FROM (SELECT *, unnest(range(10)) AS k FROM (SELECT ts, value, event_type, CASE event_id % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'redact' ELSE 'allow' END AS decision, event_id % 4 AS total_redactions FROM events)))"
+
+
+def _decided_events(spark, sf_dir) -> DataFrame:
+    e = _t(spark, sf_dir, "events")
+    kind = F.pmod("event_id", F.lit(3))
+    return e.select(F.col("ts").alias("received_at"), F.col("event_type").alias("code"), "event_type", "value", F.when(kind == 0, "block").when(kind == 1, "redact").otherwise("allow").alias("decision"), F.pmod("event_id", F.lit(4)).alias("total_redactions"))
+
+
+def _plain_start(df: DataFrame) -> DataFrame:
+    return df.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(f"WITH {_SLIDING} SELECT window_start, event_type AS code, count(*) AS n, count(*) / 300.0::DOUBLE AS rate FROM e WHERE decision = 'block' GROUP BY 1, 2")
+def block_rate(spark, sf_dir):
+    return _plain_start(SR.block_rate(_decided_events(spark, sf_dir)))
+
+
+@query(f"WITH {_SLIDING} SELECT window_start, count(*) AS n, count(*) / 300.0::DOUBLE AS rate FROM e WHERE decision = 'redact' GROUP BY 1")
+def redaction_rate(spark, sf_dir):
+    return _plain_start(SR.redaction_rate(_decided_events(spark, sf_dir)))
+
+
+@query(f"WITH {_SLIDING} SELECT window_start, count(*) AS n, count(*) / 300.0::DOUBLE AS rate FROM e WHERE total_redactions > 0 GROUP BY 1")
+def response_redaction_rate(spark, sf_dir):
+    return _plain_start(SR.response_redaction_rate(_decided_events(spark, sf_dir)))
+
+
+@query(f"WITH {_SLIDING} SELECT window_start, event_type AS error_class, count(*) AS n, count(*) / 300.0::DOUBLE AS rate FROM e GROUP BY 1, 2")
+def error_rate(spark, sf_dir):
+    return _plain_start(SR.error_rate(_decided_events(spark, sf_dir).drop("code"), "event_type"))
+
+
+_RANKED = "r AS (SELECT {by}, value, row_number() OVER (PARTITION BY {by} ORDER BY value) AS i, count(*) OVER (PARTITION BY {by}) AS n FROM e WHERE value IS NOT NULL)"
+
+
+@query(f"WITH {_SLIDING}, {_RANKED.format(by='window_start')} SELECT window_start, " + ", ".join(f"min(value) FILTER (WHERE i >= ceil({q} * n)) AS p{round(q * 100)}" for q in (0.5, 0.95, 0.99)) + " FROM r GROUP BY 1")
+def latency_quantiles(spark, sf_dir):
+    return _plain_start(SR.latency_quantiles(_decided_events(spark, sf_dir).filter("value is not null"), "value"))
+
+
+@query(f"WITH {_SLIDING}, {_RANKED.format(by='window_start, event_type')} SELECT window_start, event_type AS stage, min(value) FILTER (WHERE i >= ceil(0.99 * n)) AS p99 FROM r GROUP BY 1, 2")
+def stage_latency_p99(spark, sf_dir):
+    return _plain_start(SR.stage_latency_p99(_decided_events(spark, sf_dir).filter("value is not null"), "value", "event_type"))
+
+
 @query("SELECT event_id, epoch_us(ts) / 1e6::DOUBLE AS epoch, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, true AS same FROM events")
 def epoch_and_iso(spark, sf_dir):
     ts = F.col("ts").cast("timestamp")

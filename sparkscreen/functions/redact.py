@@ -24,6 +24,10 @@ REPLACEMENTS = {"email": "[EMAIL]", "phone": "[PHONE]", "credit_card": "[CARD]",
 LIBRARY_ORDER = ("email", "credit_card", "phone", "ssn", "ip_address", "api_key", "aws_key")
 CONFIG_ORDER = ("email", "phone", "credit_card", "ssn", "ip_address", "api_key", "aws_key")
 
+#: What is executed where the pattern as it stands would be tried anew at every sign of a long run: a match begins where
+#: its run begins, or where the match before it ended. The matches are the same.
+_LOCAL = r"[a-zA-Z0-9._%+\-]"
+_EXECUTED = {**PATTERNS, "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++" + PATTERNS["email"].removeprefix(_LOCAL + "+")}
 _DIGITS = r"(?U)\d"
 
 
@@ -55,7 +59,7 @@ def redact(text: Column, entities: Sequence[str] = LIBRARY_ORDER, validate_luhn:
     state = lambda t, r: F.struct(t.alias("text"), r.alias("records"))
 
     def apply(entity: str, z: Column) -> Column:
-        pattern, token = F.lit("(?U)" + PATTERNS[entity]), F.lit(tokens[entity])
+        pattern, token = F.lit("(?U)" + _EXECUTED[entity]), F.lit(tokens[entity])
         checked = entity == "credit_card" and validate_luhn
 
         def replaced(m: Column, g: Column) -> Column:
@@ -70,7 +74,7 @@ def redact(text: Column, entities: Sequence[str] = LIBRARY_ORDER, validate_luhn:
             return state(text, F.concat(z["records"], plain))
 
         found = F.regexp_extract_all(z["text"], pattern, F.lit(0))
-        change = let(found, lambda m: F.when(F.size(m) == 0, z).otherwise(let(F.split(z["text"], "(?U)" + PATTERNS[entity], -1), lambda g: replaced(m, g))))
+        change = let(found, lambda m: F.when(F.size(m) == 0, z).otherwise(let(F.split(z["text"], "(?U)" + _EXECUTED[entity], -1), lambda g: replaced(m, g))))
         return F.when(_may_hold(entity, z["text"]), change).otherwise(z)
 
     out = state(F.coalesce(text, F.lit("")), F.array().cast(f"array<{RECORD}>"))
@@ -88,5 +92,5 @@ def redact_text(text: Column, entities: Sequence[str] = LIBRARY_ORDER, validate_
             out = let(out, lambda t: F.when(t.isNull(), t).otherwise(redact(t, ["credit_card"], True, tokens)["text"]))
         else:
             literal = tokens[entity].replace("\\", "\\\\").replace("$", "\\$")
-            out = let(out, _of(lambda e, t, r: F.when(_may_hold(e, t), F.regexp_replace(t, "(?U)" + PATTERNS[e], r)).otherwise(t), entity, literal))
+            out = let(out, _of(lambda e, t, r: F.when(_may_hold(e, t), F.regexp_replace(t, "(?U)" + _EXECUTED[e], r)).otherwise(t), entity, literal))
     return out

@@ -24,6 +24,9 @@ RESPONSE_STAGES = ("output_pii_redactor",)
 MODEL_THRESHOLDS = {"onnx_injection": 0.85, "toxicity": 0.9}
 
 
+MADE_COLUMNS = frozenset(("decision", "reason", "code", "entities", "score", "stage", "stage_trace", "stage_details"))
+
+
 class Pipeline:
     def __init__(self, stages: Sequence[S.Stage] = ()):
         self.stages = list(stages)
@@ -41,8 +44,11 @@ class Pipeline:
     def run(self, requests: DataFrame) -> DataFrame:
         """``requests`` plus decision, reason, code, entities, score, stage and stage_trace; messages as rewritten.
 
-        Null messages count as none. ``requests`` must not have columns of these names.
+        Null messages count as none. ``requests`` must not have columns of these names, nor of names that begin with an underscore.
         """
+        clashes = sorted(c for c in requests.columns if c.lower() in MADE_COLUMNS or c.startswith("_"))
+        if clashes:
+            raise ValueError(f"rename the columns {', '.join(clashes)}: the pipeline makes columns of such names")
         df = requests.withColumns({"messages": F.coalesce("messages", F.array().cast(requests.schema["messages"].dataType)), "_blocked": F.lit(False)})
         made, scratch = [], ["_blocked"]
         for i, stage in enumerate(self.stages):

@@ -82,6 +82,10 @@ def invalid_rules(spark: SparkSession, rules: Sequence[Rule]) -> list[str]:
     return out
 
 
+#: Letters that Java folds to i, though simple case folding does not; a letter without case stands for them in a scan.
+_TURKIC, _CASELESS = "ıİ", "ʔ"
+
+
 def matches(rule: Rule, text: Column, folded: Column) -> Column:
     found = text.rlike("(?U)" + rule.pattern)
     if not rule.needs:
@@ -92,20 +96,32 @@ def matches(rule: Rule, text: Column, folded: Column) -> Column:
     return gate & found
 
 
+def simply_folding(text: Column) -> Column:
+    """The text as a scan that ignores case is to see it: dotless and dotted i are no i."""
+    return F.when(text.contains(_TURKIC[0]) | text.contains(_TURKIC[1]), F.translate(text, _TURKIC, 2 * _CASELESS)).otherwise(text)
+
+
 def fold(text: Column) -> Column:
     """Lower case; the long s and the Kelvin sign, which also match s and k, become these."""
-    return F.lower(F.when(text.contains("ſ") | text.contains("K"), F.translate(text, "ſK", "sk")).otherwise(text))
+    return F.lower(F.when(text.contains("ſ") | text.contains("K"), F.translate(text, "ſK", "sk")).otherwise(text))
+
+
+def _scanned(rules: Sequence[Rule], text: Column, use) -> Column:
+    """``use`` of a function from a rule to its test on the text; a rule that names a dotless or dotted i itself meets the text as it is."""
+    test = lambda r, x: matches(r, x["o"] if any(c in r.pattern for c in _TURKIC) else x["t"], x["f"])
+    seen = lambda t: F.struct(text.alias("o"), t.alias("t"), fold(t).alias("f"))
+    return let(simply_folding(text), lambda t: let(seen(t), lambda x: use(lambda r: test(r, x))))
 
 
 def first_match(rules: Sequence[Rule], text: Column) -> Column:
     """Least index of a rule that matches, or null. Patterns are plan literals, compiled once a task."""
     if not rules:
         return F.lit(None).cast("int")
-    tests = lambda t, folded: F.coalesce(*[F.when(matches(r, t, folded), F.lit(i)) for i, r in enumerate(rules)])
-    return let(F.struct(text.alias("t"), fold(text).alias("f")), lambda x: tests(x["t"], x["f"]))
+    return _scanned(rules, text, lambda test: F.coalesce(*[F.when(test(r), F.lit(i)) for i, r in enumerate(rules)]))
 
 
 def all_matches(rules: Sequence[Rule], text: Column) -> Column:
     """Indices of all rules that match, in order."""
-    tests = lambda t, folded: F.array_compact(F.array(*[F.when(matches(r, t, folded), F.lit(i)) for i, r in enumerate(rules)]))
-    return let(F.struct(text.alias("t"), fold(text).alias("f")), lambda x: tests(x["t"], x["f"])) if rules else F.array().cast("array<int>")
+    if not rules:
+        return F.array().cast("array<int>")
+    return _scanned(rules, text, lambda test: F.array_compact(F.array(*[F.when(test(r), F.lit(i)) for i, r in enumerate(rules)])))

@@ -62,3 +62,18 @@ def test_each_pattern_is_in_the_plan_once(spark):
     df = spark.createDataFrame([("a",)], "t string").select(P.redact(F.col("t")).alias("z")).select("z.text", "z.records")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == len(P.PATTERNS)
+
+
+def test_long_runs_are_linear_and_matches_the_same(spark):
+    """The executed email pattern finds what the pattern as it stands finds; a long run is read once."""
+    import random
+    import re
+    import time
+
+    draw = random.Random(7)
+    texts = ["".join(draw.choice(["a", "b.c", "@", "@x.org", ".", "-", " ", "%", "é", "@a.b", "_"]) for _ in range(draw.randint(0, 16))) for _ in range(3000)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", P.redact_text(F.col("t"), ["email"]).alias("r")).collect()
+    assert all(r["r"] == re.sub(P.PATTERNS["email"], "[EMAIL]", texts[r["i"]]) for r in got)
+    start = time.perf_counter()
+    long = spark.createDataFrame([("a" * 1_000_000 + " @",)], "t string").select(P.redact(F.col("t"), ["email"])["text"].alias("t")).first()["t"]
+    assert len(long) == 1_000_002 and time.perf_counter() - start < 10
