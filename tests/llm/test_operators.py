@@ -91,17 +91,42 @@ def pieces(t):
     return set(re.findall(r"\S+(?:[^\S\n]+\S+){0,%d}" % (sketches.PIECE_WORDS - 1), t))
 
 
+def held_digests(fingerprint):
+    """The digests that a fingerprint's text holds, by peeling its blocks."""
+    found, at = set(), 0
+    while at < len(fingerprint):
+        m = (8, 32, 128)[int(fingerprint[at])]
+        raw = [fingerprint[at + 1 + 28 * i :][:28] for i in range(3 * m)]
+        cells, at = [[int(x[:4], 16), int(x[4:20], 16)] for x in raw], at + 1 + 84 * m
+        own, todo = set(), [y for y in cells if y[0] == 1]
+        while todo:
+            c, k = todo.pop()
+            if c == 1 and k not in own:
+                own.add(k)
+                for t in range(3):
+                    y = cells[t * m + (k >> 7 * t) % m]
+                    y[0], y[1] = y[0] - 1, y[1] ^ k
+                    todo += [list(y)] if y[0] == 1 else []
+        assert not any(c or k for c, k in cells)
+        found |= own
+    return found
+
+
 def test_sketches_equal_brute_force(docs, texts):
-    few = docs.filter("n_chars < 1500")
-    got = {r["doc_id"]: r for r in sketches.compare_versions(few).collect()}
+    """All texts; the likenesses follow from the two fingerprint columns alone."""
+    got = {r["doc_id"]: r for r in sketches.compare_versions(docs).collect()}
     ids = sorted(got, reverse=True)
+    own = {d: held_digests(r["fingerprint"]) for d, r in got.items()}
+    like = lambda x, y: 1.0 if not (x or y) else (len(x) + len(y) - len(x ^ y)) / (len(x) + len(y))
     for i, d in enumerate(ids):
-        a, b = texts[d], texts[ids[(i + 1) % len(ids)]]
+        after = ids[(i + 1) % len(ids)]
+        a, b = texts[d], texts[after]
         e = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
-        like = lambda x, y: 1.0 if not (x or y) else (len(x) + len(y) - len(x ^ y)) / (len(x) + len(y))
         r = got[d]
         assert (r["n_chars"], r["edited_sha256"]) == (len(a), hashlib.sha256(e.encode()).hexdigest())
         assert (r["near_edited"], r["near_next"]) == (pytest.approx(like(pieces(a), pieces(e))), pytest.approx(like(pieces(a), pieces(b))))
+        assert {x - (x >> 63 << 64) for x in own[d]} == {xxhash.xxh64_intdigest(p, 42) - (xxhash.xxh64_intdigest(p, 42) >> 63 << 64) for p in pieces(a)}
+        assert (r["near_edited"], r["near_next"]) == (pytest.approx(like(own[d], held_digests(r["edited_fingerprint"]))), pytest.approx(like(own[d], own[after])))
 
 
 def test_peeling_recovers_digests_and_larger_tables_help(spark):
@@ -109,7 +134,7 @@ def test_peeling_recovers_digests_and_larger_tables_help(spark):
     random.seed(1)
     values = [random.getrandbits(63) for _ in range(60)]
     df = spark.createDataFrame([([values[i] for i in a], [values[i] for i in b])], "a array<long>, b array<long>")
-    at = lambda c: df.select(sketches.peeled(sketches.subtracted(F.col("a"), F.col("b"), c), c)).first()[0]
+    at = lambda c: df.select(sketches.peeled(sketches.subtracted(sketches.sketch(F.col("a"), c), sketches.sketch(F.col("b"), c)), c)).first()[0]
     assert at(8) is None
     assert sorted(at(128)) == sorted(values[i] for i in set(a) ^ set(b))
 
