@@ -33,7 +33,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z
 _ATTR = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_RAW = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template", "svg", "select", "object")}
+_RAW = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template", "svg", "select")}
 _IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -44,30 +44,54 @@ _MARKED, _APART = frozenset(("article", "main")), frozenset(("nav", "aside", "fo
 _ASIDE_WORDS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie copyright disclaimer disqus footer form header login masthead menu nav navbar navigation newsletter notice pager pagination popup promo promoted recommended related reply respond share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
 
 
+class Node:
+    """An open element. What its descendants inherit is kept once and shared: a chain of elements that adds nothing costs no more than its links."""
+
+    __slots__ = ("tag", "words", "inherited", "unmarked", "tags", "linked", "inside", "apart")
+
+    def __init__(self, tag: str, words: tuple[str, ...], above: Node | None):
+        self.tag, self.words = tag, words
+        own = ["in:" + tag, *("word:" + w for w in words), *["aside-word"] * (not _ASIDE_WORDS.isdisjoint(words))]
+        self.inherited = self._with(above.inherited if above else frozenset(), own)
+        self.unmarked = self._with(above.unmarked if above else frozenset(), own[tag in _MARKED :])
+        outer = above.tags if above else ()
+        self.tags = outer if tag in _INLINE else (*outer, tag)[-3:]  # three: one of the last two may be a mark
+        self.linked = tag == "a" or above is not None and above.linked
+        self.inside = tag in _MARKED or above is not None and above.inside
+        self.apart = above is not None and above.apart or self.inside and (tag in _APART or not _ASIDE_WORDS.isdisjoint(words))
+
+    @staticmethod
+    def _with(all_above: frozenset, own: list[str]) -> frozenset:
+        return all_above if all_above.issuperset(own) else all_above.union(own)
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    node: Node | None
     links: int = 0
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order: character references decoded, white space runs made one space."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Node]] = []
+    opened: dict[str, int] = defaultdict(int)
     held: list[tuple[str, bool]] = []
-    at, skip_to = 0, -1
+    at = 0
 
     def flush():
         if held:
             text = " ".join("".join(t for t, _ in held).split())
-            if text:
-                out.append(Block(text, tuple(stack), sum(len(t.strip()) for t, linked in held if linked)))
+            if text and not opened["head"]:
+                out.append(Block(text, stack[-1][1] if stack else None, sum(len(t.strip()) for t, linked in held if linked)))
             held.clear()
 
     def close(to: int):
         if any(t not in _INLINE for t, _ in stack[to:]):
             flush()
+        for t, _ in stack[to:]:
+            opened[t] -= 1
         del stack[to:]
 
     while (m := _TOKEN.match(page, at)) is not None:
@@ -76,15 +100,14 @@ def blocks(page: str) -> list[Block]:
         if raw is not None:
             if stack and stack[-1][0] == "head" and not raw.isspace():
                 close(len(stack) - 1)
-            held.append((html.unescape(raw), any(t == "a" for t, _ in stack)))
+            held.append((html.unescape(raw), bool(stack) and stack[-1][1].linked))
             continue
         if name is None:
             continue
         name = name.lower()
         if m[1]:
-            to = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if to is not None:
-                close(to)
+            if opened[name]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         # a head whose end tag is left out ends at the first thing that may not stand in it
         if stack and stack[-1][0] == "head":
@@ -99,11 +122,11 @@ def blocks(page: str) -> list[Block]:
                 gone = page.find(">", at)
                 at = len(page) if gone < 0 or not end else gone + 1
             continue
-        if name in _ENDS_P:
+        if name in _ENDS_P and opened["p"]:
             to = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] in _SCOPES), None)
             if to is not None and stack[to][0] == "p":
                 close(to)
-        if name in _OWN_KIND:
+        if name in _OWN_KIND and any(opened[t] for t in _OWN_KIND[name]):
             to = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in _OWN_KIND[name] or stack[i][0] in _SCOPES), None)
             if to is not None and stack[to][0] in _OWN_KIND[name]:
                 close(to)
@@ -117,24 +140,18 @@ def blocks(page: str) -> list[Block]:
                 flush()
             words = tuple(w for a in _ATTR.findall(m[3]) for w in _WORDS.findall(_CAMEL.sub(" ", "".join(a)).lower())) if m[3] else ()
             if not m[0].endswith("/>"):
-                stack.append((name, words))
+                stack.append((name, Node(name, words, stack[-1][1] if stack else None)))
+                opened[name] += 1
     flush()
-    return [b for b in out if not any(t == "head" for t, _ in b.path)]
+    return out
 
 
 def features(page_blocks: list[Block], marks: bool = True) -> list[list[str]]:
     out, n = [], len(page_blocks)
     for i, b in enumerate(page_blocks):
-        f = ["bias"]
-        seen = dict.fromkeys(b.path)
-        for tag, words in seen:
-            if marks or tag not in _MARKED:
-                f.append("in:" + tag)
-            for w in words:
-                f.append("word:" + w)
-                if w in _ASIDE_WORDS:
-                    f.append("aside-word")
-        tags = [t for t, _ in b.path if t not in _INLINE and (marks or t not in _MARKED)]
+        node = b.node
+        f = ["bias", *sorted((node.inherited if marks else node.unmarked) if node else ("bare",))]
+        tags = [t for t in node.tags if marks or t not in _MARKED] if node else []
         f.append("leaf:" + (tags[-1] if tags else ""))
         f.append("under:" + ">".join(tags[-2:]))
         text = b.text
@@ -226,14 +243,9 @@ class Field:
 
 def marked_labels(page_blocks: list[Block]) -> list[int] | None:
     """Labels of a page that marks its article; None if it does not."""
-    if not any(t in _MARKED for b in page_blocks for t, _ in b.path):
+    if not any(b.node and b.node.inside for b in page_blocks):
         return None
-    out = []
-    for b in page_blocks:
-        inside = next((i for i, (t, _) in enumerate(b.path) if t in _MARKED), None)
-        below = b.path[inside:] if inside is not None else ()
-        out.append(int(inside is not None and not any(t in _APART or _ASIDE_WORDS & set(w) for t, w in below)))
-    return out
+    return [int(b.node is not None and b.node.inside and not b.node.apart) for b in page_blocks]
 
 
 #: Layouts with their roles: {m} stands for main text and {o} for other text of the sampled pages.
@@ -242,6 +254,11 @@ LAYOUTS = (
     '<body><div class="nav"><a>{s}</a> <a>{s}</a></div><div class="wrapper"><div class="post"><h1>{t}</h1><div class="post-body">{m}<p>{m}</p><ul><li>{m}</li><li>{m}</li></ul><blockquote>{m}</blockquote></div></div><div class="sidebar"><div class="widget"><h3>{s}</h3><ul><li><a>{s}</a></li><li><a>{s}</a></li></ul></div><div class="advert">{o}</div></div></div><footer><p>{o}</p></footer></body>',
     '<body><nav><ul><li><a>{s}</a></li></ul></nav><main><article><h1>{t}</h1><p>{m}</p><div class="ad"><p>{o}</p></div><p>{m}</p><form><label>{s}</label><button>{s}</button></form><p>{m}</p></article><section class="related"><h2>{s}</h2><ul><li><a>{o}</a></li></ul></section><section id="comments"><p>{o}</p><p>{o}</p></section></main><aside><p>{o}</p></aside><footer>{o}</footer></body>',
     '<body><table><tr><td class="menu"><a>{s}</a><br><a>{s}</a></td><td><h2>{t}</h2><p>{m}</p><p>{m}</p><pre>{m}</pre></td></tr></table><div class="newsletter"><form><p>{o}</p></form></div><div class="banner">{o}</div><small>{o}</small></body>',
+    "{m}",
+    "<h1>{t}</h1><p>{m}</p><p>{m}</p>",
+    "<h1>{t}</h1><p>{m}</p><ul><li>{t}</li><li>{t}</li></ul>",
+    "<body><h2>{t}</h2>{m}<br><br><p>{m}</p><ul><li>{m}</li><li>{m}</li></ul><p>{m}</p></body>",
+    '<body><ul class="topbar"><li><a>{s}</a></li><li><a>{s}</a></li></ul><section class="body"><h1>{t}</h1><p>{m}</p><div>{m}</div><ol><li>{m}</li><li>{m}</li><li>{m}</li></ol><table><tr><th>{t}</th><th>{t}</th></tr><tr><td>{m}</td><td>{m}</td></tr></table><p>{m}</p></section><div class="reviews"><div class="comment"><b>{s}</b><div>{o}</div></div></div><div class="copyright">{o}</div></body>',
 )
 
 
@@ -288,7 +305,11 @@ def main_text(page: str, model: Field) -> str:
 
 
 def extract_text(pages: DataFrame, model: Field, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars for every row; null or empty html gives an empty text."""
+    """page_id, url, text, n_chars for every row; null or empty html gives an empty text.
+
+    Pages are read whole, in time and memory that follow their length; repeated rows give equal texts, an empty table no
+    rows. Other columns are left out, whatever their names.
+    """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text_or_empty(html_col).alias("html"))
     cast = pages.sparkSession.sparkContext.broadcast(model)
 

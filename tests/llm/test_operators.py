@@ -409,6 +409,42 @@ def test_pages(spark, sf_dir):
     assert html_text.main_text(other, model) == "A title\n\nFirst words of a story, with more to come. And on.\n\nSecond words, with a stop."
 
 
+#: Never trained on.
+OTHER_LAYOUTS = (
+    '<html><body><div id="top"><div><a>{s}</a></div><div><a>{s}</a></div></div><section class="story"><h1>{t}</h1><div>{m}</div><div>{m}</div><ul><li>{m}</li></ul></section><div class="comments"><div class="who">{s}</div><div>{o}</div></div><div id="footer">{o}</div></body></html>',
+    "<div><h1>{t}</h1><p>{m}</p><p>{m}</p><ol><li>{m}</li><li>{m}</li></ol></div>",
+    "<body><nav><a>{s}</a></nav><p>{m}</p><p>{m}</p><footer>{o}</footer></body>",
+)
+
+
+def test_layouts_never_trained_on(docs, spark, sf_dir, monkeypatch):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    model = html_text.fit(pages)
+    parsed = [(b, y) for r in pages.limit(60).collect() if (y := html_text.marked_labels(b := html_text.blocks(r["html"]))) is not None]
+    for layout in OTHER_LAYOUTS:
+        monkeypatch.setattr(html_text, "LAYOUTS", (layout,))
+        made = html_text.layout_pages(parsed, 40, seed=9)
+        found = [(p, q) for b, y in made for p, q in zip(model.decode(html_text.features(b)), y)]
+        assert len(made) == 40 and sum(p and q for p, q in found) >= 0.95 * max(sum(p for p, _ in found), sum(q for _, q in found)), layout
+    for page in ("plain words without tags", "<p>a<b>b</b>c … 1 &lt; 2</p>", "<h1>T</h1><p>one two three.</p><ul><li>first item</li><li>second item</li></ul>"):
+        assert html_text.main_text(page, model).replace("\n", "") == "".join(b.text for b in html_text.blocks(page))
+
+
+def test_deeply_nested_pages():
+    found = html_text.blocks("<div>x" * 50_000)
+    assert len(found) == 50_000 and found[-1].node.inherited is found[0].node.inherited
+    assert html_text.features(found)[-1].count("in:div") == 1
+
+
+def test_pages_of_odd_rows(spark):
+    rows = [(1, "u", None, 5), (1, "u", None, 5), (2, None, "", 5), (None, "v", "<p>Words of it, and more of them.</p>", 5), (3, "w", "<p>" + "word " * 50_000 + "</p>", 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
+    model = html_text.fit(pages)
+    got = sorted(map(tuple, html_text.extract_text(pages, model).collect()), key=str)
+    assert got == sorted([(1, "u", "", 0), (1, "u", "", 0), (2, None, "", 0), (None, "v", "Words of it, and more of them.", 30), (3, "w", ("word " * 50_000).strip(), 249_999)], key=str)
+    assert html_text.extract_text(pages.limit(0), html_text.fit(pages.limit(0))).count() == 0
+
+
 def test_segments_are_all_maximal():
     random.seed(3)
     for _ in range(200):
