@@ -46,8 +46,10 @@ def split_ranges(keyed: DataFrame, ranges: int, per_range: int = SAMPLES_PER_RAN
         stats = sorted((r["range"], r["bytes"], r["rows"]) for r in measured)
         goal = max(1.0, sum(b for _, b, _ in stats) / ranges)
         full = [r["range"] for r in measured if r["bytes"] - r["largest"] > 2 * goal]
-        if not full or n == rounds:
+        if not full:
             return bounds, stats
+        if n == rounds:
+            raise RuntimeError(f"{len(full)} ranges are still overfull after {rounds} rounds")
         step = goal / per_range
         in_full = F.col("range").isin(full) if bounds else F.lit(True)
         weight = F.col("size") / F.lit(step)
