@@ -17,7 +17,7 @@ from .operators import metrics as M
 from .operators import responses as RS
 from .operators import stages as S
 from .operators import tuning as TU
-from .plans.pipeline import Pipeline
+from .plans.pipeline import Pipeline, response_redactor
 from .rules import BUNDLED, Rule, all_matches, first_match
 from .sources import audit as A
 from .sources import requests as Q
@@ -421,6 +421,27 @@ def fail_closed(spark, sf_dir):
     return ran.select("doc_id", "decision", "code", "score")
 
 
+MODEL_CONFIG = """
+[pipeline]
+request_stages = ["toxicity"]
+on_error = "block"
+[stages.toxicity]
+enabled = true
+threshold = 0.5
+batches = true
+scan_roles = ["user", "system"]
+"""
+
+
+@query(f"""WITH {_VIEWS}, d AS (SELECT conv_id, length(role_text) AS n, trim(regexp_replace(role_text, '\\s+', ' ', 'g')) <> '' AS given FROM conv)
+SELECT conv_id, CASE WHEN given AND (n % 7 = 0 OR n % 100 >= 50) THEN 'block' ELSE 'allow' END AS decision,
+  CASE WHEN given AND n % 7 = 0 THEN 'policy_violation' WHEN given AND n % 100 >= 50 THEN 'toxicity' END AS code FROM d""")
+def model_stage_from_config(spark, sf_dir):
+    """Roles to scan from the stage, what a failure means from the pipeline."""
+    ran = Pipeline.from_toml(spark, MODEL_CONFIG, {"toxicity": _flaky("allow").scorer}).run(_convs(spark, sf_dir))
+    return ran.select("conv_id", "decision", "code")
+
+
 _PII_TEXT = f"t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, regexp_matches(t, {_quoted(P.PATTERNS['email'])}) AS email, regexp_matches(regexp_replace(t, {_quoted(P.PATTERNS['email'])}, '[EMAIL]', 'g'), {_quoted(P.PATTERNS['ssn'])}) AS ssn FROM t), n AS (SELECT doc_id, array_to_string(list_filter([CASE WHEN email THEN 'email' END, CASE WHEN ssn THEN 'ssn' END], lambda x: x IS NOT NULL), ', ') AS names FROM f)"
 
 
@@ -643,6 +664,12 @@ def response_body_redaction(spark, sf_dir):
     return r.select("conv_id", "turn", content.alias("content"), "total_redactions", F.array_join("entity_types", ",").alias("entity_types"))
 
 
+@query(f"{_TURN_SQL} SELECT conv_id, turn, CASE WHEN conv_id % 5 <> 0 THEN total_redactions ELSE 0 END AS total_redactions FROM r")
+def response_redaction_from_config(spark, sf_dir):
+    redactor = response_redactor({"stages": {"pii_redactor": {"redact_responses": True}}})
+    return RS.redact_response_bodies(_response_bodies(spark, sf_dir), redactor).select("conv_id", "turn", "total_redactions")
+
+
 @query(f"{_TURN_SQL} SELECT conv_id || '-' || turn AS request_id, 'response_redact' AS decision, total_redactions, entity_types FROM r WHERE total_redactions > 0 AND conv_id % 5 <> 0")
 def response_events(spark, sf_dir):
     e = RS.response_events(RS.redact_response_bodies(_response_bodies(spark, sf_dir), _REDACTOR))

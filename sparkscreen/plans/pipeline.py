@@ -22,6 +22,7 @@ from ..operators import stages as S
 REQUEST_STAGES = ("regex_injection", "onnx_injection", "pii_redactor", "toxicity", "policy")
 RESPONSE_STAGES = ("output_pii_redactor",)
 MODEL_THRESHOLDS = {"onnx_injection": 0.85, "toxicity": 0.9}
+ON_ERROR = ("allow", "block")
 
 
 MADE_COLUMNS = frozenset(("decision", "reason", "code", "entities", "score", "stage", "stage_trace", "stage_details"))
@@ -98,13 +99,20 @@ class Pipeline:
         """Stages in the order of ``pipeline.request_stages``; disabled and unknown ones are left out.
 
         ``scorers`` has a scorer for each model stage that is enabled. The configuration is checked
-        first, and all that is wrong with it is raised at once.
+        first, and all that is wrong with it is raised at once, patterns that do not compile included.
+        A model stage without an ``on_error`` of its own takes that of the pipeline.
         """
-        problems = validate_config(config)
+        problems, own, flow, out = validate_config(config), config.get("stages", {}), config.get("pipeline", {}), cls()
+        wanted = flow.get("request_stages", ["regex_injection", "pii_redactor", "policy"])
+        listed_rules: list[R.Rule] = []
+        injection = own.get("regex_injection", {})
+        if "regex_injection" in wanted and injection.get("enabled", True):
+            file, extra = injection.get("rules_file", "").strip(), injection.get("extra_rules", ())
+            listed_rules = R.read_rules(spark, file, extra) if file else R.with_extra(R.BUNDLED, extra)
+            problems += [f"stages.regex_injection: {p}" for p in R.invalid_rules(spark, listed_rules)]
         if problems:
             raise ValueError("\n".join(problems))
-        own, out = config.get("stages", {}), cls()
-        for name in config.get("pipeline", {}).get("request_stages", ["regex_injection", "pii_redactor", "policy"]):
+        for name in wanted:
             s = own.get(name, {})
             if name == "policy":
                 listed = config.get("policy", {}).get("rules", [])
@@ -112,15 +120,16 @@ class Pipeline:
                     out.stage(S.PolicyEngine([policy_rule(r) for r in listed]))
             elif name in REQUEST_STAGES and s.get("enabled", name not in MODEL_THRESHOLDS):
                 if name == "regex_injection":
-                    file = s.get("rules_file", "").strip()
-                    extra = s.get("extra_rules", ())
-                    listed = R.read_rules(spark, file, extra) if file else R.with_extra(R.BUNDLED, extra)
-                    out.stage(S.RegexInjection(listed, s.get("action") == "log_only"))
+                    out.stage(S.RegexInjection(listed_rules, s.get("action") == "log_only"))
                 elif name == "pii_redactor":
                     out.stage(redactor_from(s))
                 else:
                     make = S.injection_model if name == "onnx_injection" else S.toxicity_model
-                    out.stage(make((scorers or {})[name], s.get("threshold", MODEL_THRESHOLDS[name]), on_error=s.get("on_error", "allow"), batches=s.get("batches", False)))
+                    on_error = s.get("on_error", flow.get("on_error", "allow"))
+                    options = {"on_error": on_error, "batches": s.get("batches", False), "action": s.get("action", "block")}
+                    if name == "toxicity":
+                        options["roles"] = tuple(s.get("scan_roles", ("user",)))
+                    out.stage(make((scorers or {})[name], s.get("threshold", MODEL_THRESHOLDS[name]), **options))
         return out
 
     @classmethod
@@ -132,6 +141,19 @@ def redactor_from(settings: Mapping) -> S.PiiRedactor:
     return S.PiiRedactor(settings.get("entities", P.CONFIG_ORDER), settings.get("validate_luhn", True), settings.get("replacements", {}), settings.get("action", "redact"))
 
 
+def response_redactor(config: Mapping) -> S.PiiRedactor | None:
+    """The redactor of responses: that of requests, if the configuration asks for it, or None.
+
+    It is asked for by ``stages.pii_redactor.redact_responses``, and by no stage of its own, so that
+    responses cannot be redacted by other rules than requests. ``pipeline.response_stages`` is only checked for unknown names.
+    """
+    problems = validate_config(config)
+    if problems:
+        raise ValueError("\n".join(problems))
+    s = config.get("stages", {}).get("pii_redactor", {})
+    return redactor_from(s) if s.get("enabled", True) and s.get("redact_responses", False) else None
+
+
 def policy_rule(r: Mapping) -> S.PolicyRule:
     when, then = r.get("when", {}), r.get("then", {})
     return S.PolicyRule(r["name"], tuple(k.lower() for k in when.get("content_contains", ())), when.get("system_prompt_absent", False), when.get("token_count_exceeds", 0), when.get("always", False), then.get("action", "block"), then.get("message"), r.get("enabled", True))
@@ -143,6 +165,8 @@ def validate_config(config: Mapping) -> list[str]:
     flow, stages = config.get("pipeline", {}), config.get("stages", {})
     for key, known in (("request_stages", REQUEST_STAGES), ("response_stages", RESPONSE_STAGES)):
         out += [f"pipeline.{key}: unknown stage '{x}'; known: {', '.join(known)}" for x in flow.get(key, ()) if x not in known]
+    if flow.get("on_error", "allow") not in ON_ERROR:
+        out.append(f"pipeline.on_error must be one of {', '.join(ON_ERROR)}")
     pii = stages.get("pii_redactor", {})
     if pii.get("enabled", True):
         names = pii.get("entities", P.CONFIG_ORDER)
@@ -153,6 +177,8 @@ def validate_config(config: Mapping) -> list[str]:
         s = stages.get(name, {})
         if s.get("enabled", False) and not 0 <= s.get("threshold", default) <= 1:
             out.append(f"stages.{name}.threshold must lie between 0 and 1")
+        if s.get("enabled", False) and s.get("on_error", "allow") not in ON_ERROR:
+            out.append(f"stages.{name}.on_error must be one of {', '.join(ON_ERROR)}")
     for i, r in enumerate(config.get("policy", {}).get("rules", ())):
         when, words = r.get("when", {}), r.get("when", {}).get("content_contains", ())
         if not r.get("name", "").strip():

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkscreen.operators import stages as S
-from sparkscreen.plans.pipeline import Pipeline, validate_config
+from sparkscreen.plans.pipeline import Pipeline, redactor_from, response_redactor, validate_config
 from sparkscreen.rules import BUNDLED, Rule, first_match, invalid_rules, parse_rules, with_extra
 from sparkscreen.sources import requests as Q
 from sparkscreen.streaming.rates import run_with_fresh_rules
@@ -112,6 +112,32 @@ def test_config(spark):
     assert [s.name for s in p.stages] == ["policy", "pii_redactor", "regex_injection"]
 
 
+def test_config_names_patterns_that_do_not_compile(spark):
+    bad = {"stages": {"regex_injection": {"extra_rules": ["(?i)fine", "(open", "[z-a]"]}}, "pipeline": {"on_error": "retry"}}
+    with pytest.raises(ValueError) as e:
+        Pipeline.from_config(spark, bad)
+    assert "on_error" in str(e.value) and "(open" in str(e.value) and "[z-a]" in str(e.value) and "fine" not in str(e.value)
+    bad["stages"]["regex_injection"]["enabled"] = False
+    bad["pipeline"] = {}
+    assert [s.name for s in Pipeline.from_config(spark, bad).stages] == ["pii_redactor"]
+
+
+@pytest.mark.parametrize(("flow", "stage", "on_error"), [({}, {}, "allow"), ({"on_error": "block"}, {}, "block"), ({"on_error": "block"}, {"on_error": "allow"}, "allow"), ({}, {"on_error": "block"}, "block")])
+def test_config_of_model_stages(spark, flow, stage, on_error):
+    config = {"pipeline": {"request_stages": ["toxicity"], **flow}, "stages": {"toxicity": {"enabled": True, "action": "log_only", "scan_roles": ["user", "tool"], **stage}}}
+    (made,) = Pipeline.from_config(spark, config, {"toxicity": lambda t: F.lit(1.0)}).stages
+    assert (made.on_error, made.action, tuple(made.roles), made.threshold) == (on_error, "log_only", ("user", "tool"), 0.9)
+
+
+def test_responses_are_redacted_by_the_rules_of_requests():
+    assert response_redactor({}) is None
+    s = {"redact_responses": True, "entities": ["email"], "replacements": {"email": "<mail>"}}
+    assert response_redactor({"stages": {"pii_redactor": s}}) == redactor_from(s)
+    assert response_redactor({"stages": {"pii_redactor": {**s, "enabled": False}}}) is None
+    with pytest.raises(ValueError, match="nope"):
+        response_redactor({"pipeline": {"response_stages": ["nope"]}})
+
+
 def test_images_go_when_a_message_is_redacted(spark):
     body = '{"model":"m","messages":[{"role":"user","content":[{"type":"text","text":"a@b.co"},{"type":"image_url","image_url":{"url":"u"}}]}]}'
     good, _ = Q.quarantine(Q.parse_requests(spark.createDataFrame([(body,)], "body string")))
