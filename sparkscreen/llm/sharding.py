@@ -13,9 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, table, text_or_empty, written
+from .common import sizes, small, table, text_or_empty, written
 
-SHARDS, RANGES_PER_SHARD, SAMPLES_PER_RANGE, ROUNDS = 40, 4, 16, 12
+SHARDS, RANGES_PER_SHARD, ROWS_PER_RANGE, SAMPLES_PER_RANGE, ROUNDS = 40, 4, 1_000_000, 16, 12
 _UNIT = float(1 << 53)
 
 
@@ -38,7 +38,7 @@ def split_ranges(keyed: DataFrame, ranges: int, per_range: int = SAMPLES_PER_RAN
     """Boundaries of (h, t), and (range, bytes, rows) of the ranges between them.
 
     ``keyed`` has h, t and size. The driver receives about ``ranges * per_range`` sampled keys a
-    round and one row for each range, whatever the table holds.
+    round and one row for each range.
     """
     bounds: list[tuple[int, int]] = []
     for n in range(rounds + 1):
@@ -70,12 +70,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
 
     Size is the text's UTF-8 bytes plus 16; a null text counts as empty. Law ``bytes``: a record
     belongs to the shard that holds the middle of its bytes in key order, so shards differ by at
-    most about one record. Repeated rows are records of their own. An empty table gives no rows.
+    most about one record. A range is sorted in one task; there are more of them as the table grows, of
+    about ``ROWS_PER_RANGE`` rows each, and never fewer than ``RANGES_PER_SHARD`` a shard. Repeated rows are records of their own. An empty table gives no rows.
     """
     text = text_or_empty(text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
     keyed = written(base.withColumn("t", F.xxhash64("doc_id", "row")), "sizes")
-    bounds, stats = split_ranges(keyed, shards * RANGES_PER_SHARD)
+    bounds, stats = split_ranges(keyed, max(shards * RANGES_PER_SHARD, sizes(keyed, ROWS_PER_RANGE)))
     total, before, rows, bases = sum(b for _, b, _ in stats), 0, 0, []
     for r, b, n in stats:
         bases.append((r, before, rows))

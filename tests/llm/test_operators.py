@@ -216,7 +216,9 @@ def test_token_files_round_trip(spark, docs, texts, tmp_path):
 # ---- 3 and 5 ----
 
 
-def test_shards(docs, odd, none):
+@pytest.mark.parametrize("rows_per_range", [sharding.ROWS_PER_RANGE, 1])
+def test_shards(docs, odd, none, monkeypatch, rows_per_range):
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", rows_per_range)
     for df in (docs, odd):
         rows = sharding.shard_documents(df).collect()
         assert len(rows) == df.count()
