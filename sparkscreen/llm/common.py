@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +37,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """What is executed within leaves no shuffle files behind, as its result is written or collected."""
+    before = spark.conf.get(_CLEANUP_CONF, None)
+    spark.conf.set(_CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP_CONF) if before is None else spark.conf.set(_CLEANUP_CONF, before)
+
+
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, label)
@@ -41,6 +61,37 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """As ``written``, but the shuffle files of making it go at once, and ``discard`` can remove it."""
+    with shuffles_go(df.sparkSession):
+        out = written(df, label)
+    _FOLDERS[out] = out.inputFiles()[0].rsplit("/", 1)[0]
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the folders of ``settled`` tables that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop(df))
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: At most so many keys are hubs, and never one with fewer rows than LEAST_HUB.
+HUBS, LEAST_HUB = 10_000, 200
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has one row for each key and, in ``count``, how many of ``rows`` hold it.
+
+    Keys with more than one in HUBS of all ``total`` rows are hubs: there are HUBS of them at most, so
+    they are broadcast, and their rows stay where they are. The others are joined by a shuffle.
+    """
+    hub = F.col(count) > max(LEAST_HUB, total // HUBS)
+    hubs = F.broadcast(keyed.filter(hub))
+    others = rows.join(F.broadcast(keyed.filter(hub).select(*on)), on, "left_anti").join(keyed.filter(~hub), on)
+    return rows.join(hubs, on).unionByName(others)
+
+
 #: A side is broadcast up to so many bytes.
 BROADCAST_BYTES = 64 << 20
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, lines, media, mixing, packing, sharding, simhash, sketches, token_files, toxicity
+from . import html_text, lines, media, merkle, mixing, packing, sharding, simhash, sketches, token_files, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_html_crf": html_text.op8_html_crf,
         "op9_toxicity_segments": toxicity.op9_toxicity_segments,
         "op10_media_columns": media.op10_media_columns,
+        "op11_merkle_butterfly": merkle.op11_merkle_butterfly,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pareto_mixing": mixing.OP5_SQL}
+    return {"op5_pareto_mixing": mixing.OP5_SQL, "op11_merkle_butterfly": merkle.OP11_SQL}
