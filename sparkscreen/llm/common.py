@@ -7,7 +7,7 @@ import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import scratch_path
@@ -58,19 +58,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:
-    """As ``written``, but the shuffle files of making it go at once, and ``discard`` can remove it."""
+    """As ``written``, but the shuffle files of making it go at once."""
     with shuffles_go(df.sparkSession):
-        out = written(df, label)
-    _FOLDERS[out] = out.inputFiles()[0].rsplit("/", 1)[0]
-    return out
+        return written(df, label)
 
 
 def discard(*frames: DataFrame) -> None:
-    """Removes the folders of ``settled`` tables that nothing reads any more."""
+    """Removes the folders of ``written`` tables that nothing reads any more."""
     for df in frames:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop(df))
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
@@ -101,6 +101,30 @@ def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+RANGE_ROWS = 1 << 18
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``pos`` from 0 in their group, by ``order``, and ``total``, the rows of the group; and (group, total).
+
+    Sorted over all tasks and counted by prefix sums over the sorted ranges, so that a group may hold any part of
+    all rows. Nulls come first. Rows equal in ``order`` are told apart by where they stand in the (written) input.
+    """
+    given = settled(rows.withColumn("tie", F.monotonically_increasing_id()), "unordered")
+    keys = [group, *order, "tie"]
+    ordered = given.repartitionByRange(max(1, -(-given.count() // range_rows)), *keys).sortWithinPartitions(*keys)
+    ordered = settled(ordered.drop("tie").withColumn("at", F.monotonically_increasing_id()), "ordered")
+    discard(given)
+    in_range, at = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row for each pair of a range and a group that meet: no more than ranges and groups together
+    met = settled(ordered.groupBy(in_range.alias("range"), F.col(group).alias("met_group")).agg(F.count("*").alias("n"), F.min(at).alias("first")), "met")
+    whole = met.groupBy(F.col("met_group").alias(group)).agg(F.sum("n").alias("total"))
+    own = Window.partitionBy("met_group")
+    before = met.select("range", "met_group", (F.sum("n").over(own.orderBy("range")) - F.col("n") - F.col("first")).alias("skip"), F.sum("n").over(own).alias("total"))
+    found = ordered.join(small(before, met.count(), 128), (in_range == F.col("range")) & F.col(group).eqNullSafe(F.col("met_group")))
+    return found.select(*rows.columns, (F.col("skip") + at).alias("pos"), "total"), whole
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """``name``, or with underscores behind it, so that no column is called so."""
     taken = {c.lower() for f in frames for c in f.columns}

@@ -23,12 +23,12 @@ import hashlib
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, small, table
+from .common import numbered, settled, small, table
 
-FANOUT, BLOCK_LEVELS, ROUND_LEVELS, RANGE_ROWS = 2, 12, 4, 1 << 18
+FANOUT, BLOCK_LEVELS, ROUND_LEVELS = 2, 12, 4
 
 
 def digest(nodes: Iterable[bytes]) -> bytes:
@@ -79,24 +79,11 @@ def leaf_digest(values: Sequence[Column]) -> Column:
 
 
 def _blocks(leaves: DataFrame, fanout: int, block_levels: int) -> tuple[DataFrame, DataFrame]:
-    """(grp, key, leaf, payload...) -> blocks (grp, block, n_blocks, root, ids and leaves), and groups (grp, n)."""
-    spark, extra = leaves.sparkSession, [c for c in leaves.columns if c not in ("grp", "key", "leaf")]
-    given = settled(leaves.withColumn("tie", F.monotonically_increasing_id()), "leaves")
-    total = given.count()
-    # equal rows are told apart by where they stand, so that not even they meet in one range
-    ordered = given.repartitionByRange(max(1, -(-total // RANGE_ROWS)), "grp", "key", "leaf", "tie").sortWithinPartitions("grp", "key", "leaf", "tie")
-    ordered = settled(ordered.select("grp", "key", "leaf", *extra, F.monotonically_increasing_id().alias("at")), "ordered")
-    in_range, at = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    # one row for each pair of a range and a group that meet: no more than ranges and groups together
-    met = ordered.groupBy(in_range.alias("range"), "grp").agg(F.count("*").alias("n"), F.min(at).alias("first"))
-    met = settled(met, "met")
-    whole = met.groupBy("grp").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy("grp")
-    before = met.select("range", F.col("grp").alias("g"), (F.sum("n").over(group.orderBy("range")) - F.col("n") - F.col("first")).alias("skip"), F.sum("n").over(group).alias("total"))
-    joined = ordered.join(small(before, met.count(), 128), (in_range == F.col("range")) & F.col("grp").eqNullSafe(F.col("g")))
+    """(grp, key, leaf, payload...) -> blocks (grp, block, n_blocks, root, keys and leaves), and groups (grp, total)."""
+    extra = [c for c in leaves.columns if c not in ("grp", "key", "leaf")]
+    numbers, whole = numbered(leaves, "grp", ["key", "leaf"])
     size = fanout**block_levels
-    numbered = joined.select("grp", "key", "leaf", *extra, (F.col("skip") + at).alias("pos"), "total")
-    numbered = numbered.withColumn("block", F.floor(F.col("pos") / size).cast("long")).withColumn("n_blocks", F.ceil(F.col("total") / size).cast("long"))
+    placed = numbers.withColumn("block", F.floor(F.col("pos") / size).cast("long")).withColumn("n_blocks", F.ceil(F.col("total") / size).cast("long"))
     kind = dict(leaves.dtypes)
     schema = f"grp {kind['grp']}, block long, n_blocks long, root binary, key array<{kind['key']}>, leaf array<binary>" + "".join(f", {c} array<{kind[c]}>" for c in extra)
 
@@ -109,7 +96,7 @@ def _blocks(leaves: DataFrame, fanout: int, block_levels: int) -> tuple[DataFram
         kinds = [t.schema.field("grp").type, pa.int64(), pa.int64(), pa.binary(), *[pa.list_(t.schema.field(c).type) for c in ("key", "leaf", *extra)]]
         return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["grp", "block", "n_blocks", "root", "key", "leaf", *extra])
 
-    return settled(numbered.groupBy("grp", "block").applyInArrow(hashed, schema), "blocks"), whole
+    return settled(placed.groupBy("grp", "block").applyInArrow(hashed, schema), "blocks"), whole
 
 
 def _round(state: DataFrame, r: int, fanout: int, round_levels: int, tails_rows: int) -> DataFrame:
@@ -172,7 +159,7 @@ def _upper(blocks: DataFrame, groups: int, most_blocks: int, fanout: int, round_
 def _tree(leaves: DataFrame, fanout: int, block_levels: int, round_levels: int) -> tuple[DataFrame, DataFrame, int]:
     """Blocks, their upper proofs, and how many groups there are."""
     blocks, whole = _blocks(leaves, fanout, block_levels)
-    groups, most = whole.agg(F.count("*"), F.max("n")).first()
+    groups, most = whole.agg(F.count("*"), F.max("total")).first()
     return blocks, _upper(blocks, groups, -(-(most or 0) // fanout**block_levels), fanout, round_levels), groups
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, lines, media, merkle, mixing, packing, sharding, simhash, sketches, token_files, toxicity
+from . import html_text, lines, media, merkle, mixing, packing, sharding, simhash, sketches, token_files, toxicity, trie, windows
 
 
 def queries() -> dict:
@@ -18,8 +18,10 @@ def queries() -> dict:
         "op9_toxicity_segments": toxicity.op9_toxicity_segments,
         "op10_media_columns": media.op10_media_columns,
         "op11_merkle_butterfly": merkle.op11_merkle_butterfly,
+        "op12_prefix_trie": trie.op12_prefix_trie,
+        "op13_repeated_windows": windows.op13_repeated_windows,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pareto_mixing": mixing.OP5_SQL, "op11_merkle_butterfly": merkle.OP11_SQL}
+    return {"op5_pareto_mixing": mixing.OP5_SQL, "op11_merkle_butterfly": merkle.OP11_SQL, "op12_prefix_trie": trie.OP12_SQL}
