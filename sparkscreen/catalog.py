@@ -855,3 +855,7 @@ def stream_decision_rate(spark, sf_dir):
     sink = found.writeStream.outputMode("complete").option("checkpointLocation", scratch_path(spark, "rates-state"))
     sink.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# the queries of rules and sinks, and those of streams, register themselves
+from . import catalog_rules  # noqa: E402, F401

@@ -28,6 +28,20 @@ def evaluate_expected(decided: DataFrame, expected: DataFrame, key: str = "name"
     return joined.groupBy("expected_decision", "decision").agg(F.count("*").alias("cases"))
 
 
+def evaluate_cases(decided: DataFrame, text_col: str | None = None) -> DataFrame:
+    """Cases that stand beside their expectations, judged: what of decision, code, entities and redacted text is as expected.
+
+    ``decided`` has the columns of a pipeline's result and of ``read_fixtures``. An expectation that a case does not state
+    (null) is met by anything; entities are compared as sets. ``text_col`` is the text to hold against expected_redacted_text.
+    """
+    stated = lambda expected, met: F.coalesce(F.col(expected).isNull() | met, F.lit(False))
+    sets = F.array_sort(F.array_distinct("entities")) == F.array_sort(F.array_distinct("expected_entities"))
+    text = F.lit(True) if text_col is None else F.col(text_col).eqNullSafe(F.col("expected_redacted_text"))
+    parts = {"decision_met": stated("expected_decision", F.col("decision") == F.col("expected_decision")), "code_met": stated("expected_code", F.col("code").eqNullSafe(F.col("expected_code"))), "entities_met": stated("expected_entities", sets), "text_met": stated("expected_redacted_text", text)}
+    out = decided.withColumns(parts)
+    return out.withColumn("met", F.col("decision_met") & F.col("code_met") & F.col("entities_met") & F.col("text_met"))
+
+
 def rule_hits(matched: DataFrame, rules: Sequence, indices_col: str = "matched") -> DataFrame:
     """Requests that each rule matched."""
     names = F.array(*[F.lit(r.pattern) for r in rules])

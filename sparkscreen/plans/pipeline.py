@@ -91,7 +91,11 @@ class Pipeline:
         """Dry run of texts: decision, reason, code, entities and the redacted text."""
         from ..sources.requests import requests_from_text
 
-        ran = self.run(requests_from_text(df, text_col))
+        return self.check_requests(requests_from_text(df, text_col))
+
+    def check_requests(self, requests: DataFrame) -> DataFrame:
+        """Dry run of requests: the result of ``run`` and the redacted text."""
+        ran = self.run(requests)
         return ran.withColumn("redacted_text", F.when(F.col("decision") == "redact", T.user_text(F.col("messages"))))
 
     @classmethod

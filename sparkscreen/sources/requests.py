@@ -153,6 +153,19 @@ def serialize_request(model: Column, stream: Column, messages: Column, extra: Co
     return F.to_json(F.map_concat(others, own))
 
 
+#: One case of a fixture file; what a case does not state is null.
+CASE_SCHEMA = (
+    "name string, messages array<struct<role: string, content: string>>, expected_decision string, expected_code string, expected_entities array<string>, expected_redacted_text string, "
+    "policy_rule struct<name: string, enabled: boolean, when: struct<content_contains: array<string>, system_prompt_absent: boolean, token_count_exceeds: bigint, always: boolean>, then: struct<action: string, message: string>>, note string"
+)
+
+
 def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
-    """Files of {description, cases: [...]}: one row for each case."""
-    return spark.read.option("multiLine", True).json(path).select(F.explode("cases").alias("c")).select("c.*")
+    """Files of {description, cases: [...]}: one row for each case, its messages as request messages, its policy rule as ``rules``."""
+    from ..operators.row_rules import RULES, rule_struct
+
+    cases = spark.read.option("multiLine", True).schema(f"description string, cases array<struct<{CASE_SCHEMA}>>").json(path).select(F.explode("cases").alias("c")).select("c.*")
+    when, then = F.col("policy_rule.when"), F.col("policy_rule.then")
+    rule = rule_struct(F.col("policy_rule.name"), when["content_contains"], when["system_prompt_absent"], when["token_count_exceeds"], when["always"], then["action"], then["message"], F.col("policy_rule.enabled"))
+    rules = F.when(F.col("policy_rule").isNotNull(), F.array(rule)).otherwise(F.array().cast(RULES))
+    return cases.withColumns({"rules": rules, "messages": F.transform("messages", lambda m: message(m["role"], m["content"])).cast(MESSAGES)}).drop("policy_rule")
