@@ -55,20 +55,18 @@ _FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary(
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
+    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors.
+
+    The shuffle files of making it go at once; its own folder stays until ``discard``.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_go(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _FOLDERS[out] = path
     return out
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """As ``written``, but the shuffle files of making it go at once."""
-    with shuffles_go(df.sparkSession):
-        return written(df, label)
-
-
 def discard(*frames: DataFrame) -> None:
     """Removes the folders of ``written`` tables that nothing reads any more."""
     for df in frames:
@@ -110,14 +108,14 @@ def numbered(rows: DataFrame, group: str, order: list[str], range_rows: int = RA
     Sorted over all tasks and counted by prefix sums over the sorted ranges, so that a group may hold any part of
     all rows. Nulls come first. Rows equal in ``order`` are told apart by where they stand in the (written) input.
     """
-    given = settled(rows.withColumn("tie", F.monotonically_increasing_id()), "unordered")
+    given = written(rows.withColumn("tie", F.monotonically_increasing_id()), "unordered")
     keys = [group, *order, "tie"]
     ordered = given.repartitionByRange(max(1, -(-given.count() // range_rows)), *keys).sortWithinPartitions(*keys)
-    ordered = settled(ordered.drop("tie").withColumn("at", F.monotonically_increasing_id()), "ordered")
+    ordered = written(ordered.drop("tie").withColumn("at", F.monotonically_increasing_id()), "ordered")
     discard(given)
     in_range, at = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     # one row for each pair of a range and a group that meet: no more than ranges and groups together
-    met = settled(ordered.groupBy(in_range.alias("range"), F.col(group).alias("met_group")).agg(F.count("*").alias("n"), F.min(at).alias("first")), "met")
+    met = written(ordered.groupBy(in_range.alias("range"), F.col(group).alias("met_group")).agg(F.count("*").alias("n"), F.min(at).alias("first")), "met")
     whole = met.groupBy(F.col("met_group").alias(group)).agg(F.sum("n").alias("total"))
     own = Window.partitionBy("met_group")
     before = met.select("range", "met_group", (F.sum("n").over(own.orderBy("range")) - F.col("n") - F.col("first")).alias("skip"), F.sum("n").over(own).alias("total"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, settled, small, table
+from .common import numbered, small, table, written
 
 FANOUT, BLOCK_LEVELS, ROUND_LEVELS = 2, 12, 4
 
@@ -96,7 +96,7 @@ def _blocks(leaves: DataFrame, fanout: int, block_levels: int) -> tuple[DataFram
         kinds = [t.schema.field("grp").type, pa.int64(), pa.int64(), pa.binary(), *[pa.list_(t.schema.field(c).type) for c in ("key", "leaf", *extra)]]
         return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["grp", "block", "n_blocks", "root", "key", "leaf", *extra])
 
-    return settled(placed.groupBy("grp", "block").applyInArrow(hashed, schema), "blocks"), whole
+    return written(placed.groupBy("grp", "block").applyInArrow(hashed, schema), "blocks"), whole
 
 
 def _round(state: DataFrame, r: int, fanout: int, round_levels: int, tails_rows: int) -> DataFrame:
@@ -151,7 +151,7 @@ def _upper(blocks: DataFrame, groups: int, most_blocks: int, fanout: int, round_
     state = blocks.select("grp", "block", "n_blocks", "root", F.array().cast(_PROOF).alias("proof"))
     r = 0
     while fanout ** (round_levels * r) < most_blocks:
-        state = settled(_round(state, r, fanout, round_levels, groups), "round")
+        state = written(_round(state, r, fanout, round_levels, groups), "round")
         r += 1
     return state.select(F.col("grp").alias("ug"), F.col("block").alias("ub"), F.col("root").alias("subroot"), F.col("proof").alias("upper"))
 

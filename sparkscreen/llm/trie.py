@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, numbered, settled, table
+from .common import join_hot, numbered, table, written
 from .merkle import crc32_sql
 
 CELLS, HASHES, MOST_CELLS, BLOCK_CELLS, PIECE = 4, 3, 1 << 24, 1 << 14, 1 << 14
@@ -51,13 +51,13 @@ def plain_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversation c as the first h turns of conversation c - c % 5 and then its own after its first h; h = crc32(c) % 9."""
     numbers, whole = numbered(turns, "c", ["turn", "d1", "d2"])
-    numbers = settled(numbers, "turns")
+    numbers = written(numbers, "turns")
     c = F.col("c")
     own = whole.select("c", (c - c % 5).alias("g"), (F.crc32(c.cast("string").cast("binary")) % 9).alias("h"), F.col("total").alias("n"))
     heads = whole.select(F.col("c").alias("g"), F.col("total").alias("of_head"))
     head = F.least("h", F.coalesce("of_head", F.lit(0)))
     convs = own.join(heads, "g", "left").select("c", "g", "h", head.alias("head"), (head + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("length"))
-    convs = settled(convs, "convs")
+    convs = written(convs, "convs")
     tails = numbers.drop("total").join(convs.select("c", "h", "head", "length"), "c").filter("pos >= h").select("c", (F.col("head") + F.col("pos") - F.col("h") + 1).alias("depth"), "d1", "d2", "bytes", "length")
     firsts = numbers.filter("c % 5 = 0 and pos < 8").select(F.col("c").alias("g"), "pos", "d1", "d2", "bytes")
     firsts = firsts.join(convs.select("c", "g", "head", "length"), "g").filter("pos < head").select("c", (F.col("pos") + 1).alias("depth"), "d1", "d2", "bytes", "length")
@@ -125,7 +125,7 @@ def sketch(prefixes: DataFrame, total: int) -> tuple[int, list[np.ndarray]]:
         return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names)
 
     names, schema = ["hash", "block", "cells"], "hash int, block int, cells binary"
-    parts = settled(prefixes.select("p1", "p2").mapInArrow(counted, schema), "sketches")
+    parts = written(prefixes.select("p1", "p2").mapInArrow(counted, schema), "sketches")
     found = parts.repartition("hash", "block").sortWithinPartitions("hash", "block").mapInArrow(merged, schema).collect()
     rows = np.zeros((HASHES, cells), np.uint8)
     for r in found:
@@ -177,7 +177,7 @@ def _ends(rows: DataFrame) -> DataFrame:
 
     The ids of one key may be any number: sorted over all tasks, put together to texts batch by batch, and hashed as they stream by.
     """
-    given = settled(rows.select(*KEY, "c"), "ends")
+    given = written(rows.select(*KEY, "c"), "ends")
     ordered = given.repartitionByRange(max(1, -(-given.count() // (1 << 18))), *KEY, "c").sortWithinPartitions(*KEY, "c")
     kind = "depth long, p1 long, p2 long, "
 
@@ -222,13 +222,13 @@ def trie(turns: DataFrame, convs: DataFrame, piece: int = PIECE) -> DataFrame:
     ``turns`` has c, depth from 1 without gaps, d1, d2, bytes and length; ``convs`` c and length, also of conversations without turns.
     conv_id is the smallest member. No conversations give no rows. Conversations of any length, and any number of equal ones.
     """
-    prefixes = settled(_prefixes(turns, piece), "prefixes")
-    known = settled(_screened(prefixes, prefixes.count()), "screened")
-    convs = settled(convs, "lengths")
+    prefixes = written(_prefixes(turns, piece), "prefixes")
+    known = written(_screened(prefixes, prefixes.count()), "screened")
+    convs = written(convs, "lengths")
     rows = known.filter(F.col("kind") == SHARED)
     c, owns = F.col("c"), F.col("least") == F.col("c")
-    nodes = settled(rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("length").alias("longest")), "nodes")
-    back = settled(join_hot(rows, nodes, KEY, "n", max(1, rows.count())), "members")
+    nodes = written(rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("length").alias("longest")), "nodes")
+    back = written(join_hot(rows, nodes, KEY, "n", max(1, rows.count())), "members")
 
     # of each conversation: where it starts to own its nodes, which node's owner stands before that, whether it owns its last node and that has no children
     there = F.struct("depth", (F.col("b") - F.col("bytes")).alias("before"))
@@ -248,14 +248,14 @@ def trie(turns: DataFrame, convs: DataFrame, piece: int = PIECE) -> DataFrame:
         (F.col("tail").isNotNull() | F.coalesce("last", F.lit(False)) | empty_root).alias("leaf"),
         F.coalesce(begin["before"], "all_bytes", F.lit(0)).alias("not_stored"),
     )
-    info = settled(info, "info")
+    info = written(info, "info")
 
     seen = back.join(info.drop("length"), "c")
     parent = _where(owns, _where(F.col("depth") == F.col("begin"), F.col("owner_before")).otherwise(c))
     saved = F.greatest(F.col("not_stored") - (F.col("b") - F.col("bytes")), F.lit(0))
     members = seen.select(*KEY, c, parent.alias("parent"), F.lit(1).alias("n"), F.lit(0).alias("child"), F.col("leaf").cast("int").alias("leaf"), saved.alias("saved"))
     child = lambda df: df.select((F.col("depth") - 1).alias("depth"), F.col("q1").alias("p1"), F.col("q2").alias("p2"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("n"), F.lit(1).alias("child"), F.lit(0).alias("leaf"), F.lit(0).cast("long").alias("saved"))
-    firsts = settled(known.filter(F.col("kind") == FIRST).join(info.select("c", "tail", "owner_before", "begin"), "c"), "firsts")
+    firsts = written(known.filter(F.col("kind") == FIRST).join(info.select("c", "tail", "owner_before", "begin"), "c"), "firsts")
     begun = firsts.filter("depth = tail")
     told = members.unionByName(child(back.filter(owns & (F.col("depth") > 1)))).unionByName(child(begun.filter("depth > 1")))
     grouped = told.groupBy(*KEY).agg(F.min("c").alias("least"), F.max("parent").alias("parent"), F.sum("n").alias("n"), F.sum("child").alias("children"), F.sum("leaf").alias("leaves"), F.sum("saved").alias("saved")).filter("n > 0")

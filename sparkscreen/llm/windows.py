@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, join_hot, settled, table, text_or_empty
+from .common import discard, join_hot, table, text_or_empty, written
 
 WORDS, BUCKET_HASHES, CACHED_WORDS, CHUNK_BYTES = 35, 1 << 20, 1 << 18, 4 << 20
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -125,17 +125,17 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
 
 def _candidates(scanned: DataFrame, words: int) -> DataFrame:
     """t1, t2, all_repeat, hs: the texts with windows that may repeat, and their anchors that do (null: all, as the text stands twice)."""
-    texts = settled(scanned.filter(F.col("n_words") >= words).groupBy(*_IDENTITY).agg(F.count("*").alias("copies"), F.first("once").alias("once"), F.first("more").alias("more")), "texts")
+    texts = written(scanned.filter(F.col("n_words") >= words).groupBy(*_IDENTITY).agg(F.count("*").alias("copies"), F.first("once").alias("once"), F.first("more").alias("more")), "texts")
     anchor = lambda column, n: texts.select(*_IDENTITY, F.explode(column).alias("h"), n.alias("n"))
     once = anchor("once", F.col("copies"))
     counts = once.unionByName(anchor("more", F.col("copies") * 2)).groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).filter("n > 1")
-    counts = settled(counts, "anchors")
+    counts = written(counts, "anchors")
     single = texts.filter("copies = 1")
     own = single.select(*_IDENTITY, F.explode(F.concat("once", "more")).alias("h"))
     total = own.count()
     met = join_hot(own, counts.select("h", "rows"), ["h"], "rows", max(1, total)).groupBy(*_IDENTITY).agg(F.collect_list("h").alias("hs"))
     copied = texts.filter("copies > 1").select(*_IDENTITY, F.lit(True).alias("copied"), F.lit(None).cast("array<long>").alias("hs"))
-    found = settled(met.select(*_IDENTITY, F.lit(False).alias("copied"), "hs").unionByName(copied), "candidates")
+    found = written(met.select(*_IDENTITY, F.lit(False).alias("copied"), "hs").unionByName(copied), "candidates")
     discard(texts, counts)
     return found
 
@@ -169,7 +169,7 @@ def _chunks(docs: DataFrame, candidates: DataFrame, words: int) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist([{"chunk": f"{held[0]['t1']} {held[0]['t2']}", "n": n, "texts": held}], schema)
 
-    return settled(met.mapInArrow(gathered, f"chunk string, n long, texts {_TEXTS}"), "chunks")
+    return written(met.mapInArrow(gathered, f"chunk string, n long, texts {_TEXTS}"), "chunks")
 
 
 def _chunk_windows(texts: list[dict], words: int, cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,7 +226,7 @@ def _answers(chunks: DataFrame, buckets: int, words: int) -> DataFrame:
     sent = chunks.mapInArrow(messages, "bucket int, chunk string, a binary, b binary, twice binary")
     heard = sent.groupBy("bucket").applyInArrow(compared, "chunk string, bucket int, n int, bits binary")
     # a chunk has one answer from each bucket
-    return settled(heard.groupBy(F.col("chunk").alias("of_chunk")).agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("answers")), "answers")
+    return written(heard.groupBy(F.col("chunk").alias("of_chunk")).agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("answers")), "answers")
 
 
 def _removed(chunks: DataFrame, answers: DataFrame, buckets: int, words: int) -> DataFrame:
@@ -271,14 +271,14 @@ def repeated_words(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     if words < 2:
         raise ValueError("windows of two words or more")
     own = _identity(docs, id_col, text_col)
-    scanned = settled(_scan(own, words), "scanned")
+    scanned = written(_scan(own, words), "scanned")
     candidates = _candidates(scanned, words)
     chunks = _chunks(own, candidates, words)
     buckets = max(1, -(-(chunks.agg(F.sum("n")).first()[0] or 0) // BUCKET_HASHES))
     answers = _answers(chunks, buckets, words)
-    removed = settled(_removed(chunks, answers, buckets, words), "removed")
+    removed = written(_removed(chunks, answers, buckets, words), "removed")
     discard(candidates, chunks, answers)
-    copies = settled(scanned.groupBy(*_IDENTITY).agg(F.count("*").alias("copies")).join(removed, _IDENTITY, "left"), "found")
+    copies = written(scanned.groupBy(*_IDENTITY).agg(F.count("*").alias("copies")).join(removed, _IDENTITY, "left"), "found")
     discard(removed)
     rows = scanned.select("doc_id", *_IDENTITY, "n_words", "kept")
     total = scanned.count()

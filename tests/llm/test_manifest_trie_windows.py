@@ -193,7 +193,7 @@ def test_sketch_never_estimates_too_low(spark):
     """A prefix that is screened as one conversation's own is that; few cells make the sketch keep more, not lose any."""
     rows = made_conversations(5, range(400), ("a", "b", "c", "d"), 6)
     prefixes = trie._prefixes(trie.plain_turns(turns(spark, rows))[0], trie.PIECE)
-    seen = trie._screened(trie.settled(prefixes, "prefixes"), 2000)
+    seen = trie._screened(trie.written(prefixes, "prefixes"), 2000)
     counts = Counter((r["p1"], r["p2"]) for r in seen.collect())
     kinds = [(r["kind"], counts[r["p1"], r["p2"]]) for r in seen.collect()]
     assert all(n == 1 for kind, n in kinds if kind != trie.SHARED) and any(kind != trie.SHARED for kind, _ in kinds)
