@@ -858,4 +858,4 @@ def stream_decision_rate(spark, sf_dir):
 
 
 # the queries of rules and sinks, and those of streams, register themselves
-from . import catalog_rules  # noqa: E402, F401
+from . import catalog_rules, catalog_streams  # noqa: E402, F401

@@ -62,10 +62,63 @@ def histogram_quantile(hist: DataFrame, q: float, labels: Sequence[str] = ()) ->
     return hit.select(*labels, F.when(F.col("le").isNull(), F.col("top")).otherwise(inside).alias("quantile"))
 
 
+def _seconds(interval: str) -> float:
+    """Seconds of an interval text like "30 seconds"."""
+    units = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800, "millisecond": 0.001}
+    words = interval.lower().replace("interval", "").split()
+    if len(words) % 2 or any(u.rstrip("s") not in units for u in words[1::2]):
+        raise ValueError(f"an interval of numbers and units, not {interval!r}")
+    return sum(float(n) * units[u.rstrip("s")] for n, u in zip(words[::2], words[1::2]))
+
+
+def _in_panes(window: str, slide: str | None) -> bool:
+    """Windows are whole numbers of slides."""
+    return slide is not None and _seconds(window) / _seconds(slide) % 1 == 0 and _seconds(window) > _seconds(slide)
+
+
+def in_windows(df: DataFrame, ts_col: str, labels: Sequence[str], window: str, slide: str | None, first, then) -> DataFrame:
+    """``first`` aggregates of each window and label set, as struct column ``w`` and the labels.
+
+    Sliding windows are made of panes as long as the slide: rows are aggregated once, in their pane, and ``then``
+    aggregates panes into the windows that hold them, so that not rows are copied but panes. ``then`` must give from
+    ``first`` of panes what ``first`` gives from all their rows. On a stream that is two stateful steps (append mode).
+    """
+    if not _in_panes(window, slide):
+        by = F.window(ts_col, window, slide) if slide else F.window(ts_col, window)
+        return df.groupBy(by.alias("w"), *labels).agg(*first)
+    panes = df.groupBy(F.window(ts_col, slide).alias("w"), *labels).agg(*first)
+    return panes.groupBy(F.window("w", window, slide).alias("w2"), *labels).agg(*then).withColumnRenamed("w2", "w")
+
+
 def window_rate(df: DataFrame, ts_col: str, labels: Sequence[str], window: str = "5 minutes", slide: str | None = None, seconds: int = 300) -> DataFrame:
     """Events a second for each window and label set; windows without events give no row."""
-    by = F.window(ts_col, window, slide) if slide else F.window(ts_col, window)
-    return df.groupBy(by.alias("w"), *labels).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *labels, "n", (F.col("n") / seconds).alias("rate"))
+    counted = in_windows(df, ts_col, labels, window, slide, [F.count("*").alias("n")], [F.sum("n").alias("n")])
+    return counted.select(F.col("w.start").alias("window_start"), *labels, "n", (F.col("n") / seconds).alias("rate"))
+
+
+#: Accuracy of a stored quantile sketch: the rank of what it gives is off by at most RANK_ERROR of all values.
+SKETCH_K, RANK_ERROR = 800, 0.01
+
+
+def quantile_sketches(df: DataFrame, value_col: str, ts_col: str, labels: Sequence[str] = (), pane: str = "30 seconds", k: int = SKETCH_K) -> DataFrame:
+    """pane_start, labels, n, sketch: for each pane and label set a KLL sketch of the values, a few kilobytes however many they are.
+
+    To be stored, and merged by ``merged_quantiles`` for any longer window. Null values do not count; panes without values give no row.
+    """
+    some = df.filter(F.col(value_col).isNotNull())
+    found = some.groupBy(F.window(ts_col, pane).alias("w"), *labels).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value_col).cast("double"), F.lit(k)).alias("sketch"))
+    return found.select(F.col("w.start").alias("pane_start"), *labels, "n", "sketch")
+
+
+def merged_quantiles(sketches: DataFrame, quantiles: Sequence[float], labels: Sequence[str] = (), window: str | None = None, slide: str | None = None) -> DataFrame:
+    """window_start, labels, n and p50, p95, ... of stored sketches: of each window, or without one of all panes together.
+
+    Only sketches are shuffled, one for each pane and label set; merging keeps the error bound, in whatever order.
+    """
+    by = [] if window is None else [(F.window("pane_start", window, slide) if slide else F.window("pane_start", window)).alias("w")]
+    found = sketches.groupBy(*by, *labels).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("s"))
+    start = [] if window is None else [F.col("w.start").alias("window_start")]
+    return found.select(*start, *labels, "n", *[F.kll_sketch_get_quantile_double("s", F.lit(float(q))).alias(f"p{round(q * 100)}") for q in quantiles])
 
 
 def with_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
