@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import functools
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from ..model import RECORD
-from .text import let, luhn_valid
+from .text import apply_sql, let_sql, sql_text
 
 # Entity names, their patterns and default replacements.
 PATTERNS = {
@@ -31,22 +31,85 @@ _EXECUTED = {**PATTERNS, "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++" + PATTERNS[
 _DIGITS = r"(?U)\d"
 
 
-def _of(f: Callable[..., Column], entity: str, *more: str) -> Callable[[Column], Column]:
-    """A function of one column, as Spark counts the parameters of what it is given."""
-    return lambda z: f(entity, z, *more)
-
-
-def _may_hold(entity: str, text: Column) -> Column:
-    """A cheap test that every text with a match passes, so that most texts meet no costly pattern."""
+def _may_hold(entity: str, text: str) -> str:
+    """A cheap test that every text with a match passes, so that most texts meet no costly pattern. SQL text."""
+    has = lambda *words: " or ".join(f"contains({text}, {sql_text(w)})" for w in words)
+    digit = f"{text} rlike {sql_text(_DIGITS)}"
     if entity == "email":
-        return text.contains("@")
+        return has("@")
     if entity == "ip_address":
-        return (text.contains(".") & text.rlike(_DIGITS)) | text.contains(":")
+        return f"(({has('.')}) and {digit}) or {has(':')}"
     if entity == "api_key":
-        return text.contains("sk-") | text.contains("ghp_") | text.contains("gho_") | text.contains("ghs_") | text.contains("Bearer")
+        return has("sk-", "ghp_", "gho_", "ghs_", "Bearer")
     if entity == "aws_key":
-        return text.contains("AKIA")
-    return text.rlike(_DIGITS)
+        return has("AKIA")
+    return digit
+
+
+def _luhn_sql(candidate: str) -> str:
+    return let_sql(f"regexp_replace({candidate}, '[^0-9]', '')", "d", "length(d) between 13 and 19 and luhn_check(d)")
+
+
+#: What an entity's pass found: matches, gaps around them (one more), and which matches were replaced (null: all).
+_PASS = "struct<entity_type: string, m: array<string>, g: array<string>, k: array<boolean>>"
+_START = f"named_struct('text', coalesce(t, ''), 'passes', cast(array() as array<{_PASS}>))"
+
+
+def _step(entity: str, token: str, checked: bool) -> str:
+    """SQL text: struct z (text, passes) after one entity."""
+    pattern, put = sql_text("(?U)" + _EXECUTED[entity]), sql_text(token)
+    after = lambda text, k: f"named_struct('text', {text}, 'passes', concat(z.passes, array(named_struct('entity_type', {sql_text(entity)}, 'm', m, 'g', g, 'k', {k}))))"
+    if checked:
+        text = f"array_join(flatten(zip_with(g, concat(zip_with(m, k, (x, y) -> if(y, {put}, x)), array('')), (x, y) -> array(x, y))), '')"
+        changed = let_sql(f"transform(m, x -> {_luhn_sql('x')})", "k", after(text, "k"))
+    else:
+        changed = after(f"array_join(g, {put})", "cast(null as array<boolean>)")
+    held = let_sql(f"split(z.text, {pattern}, -1)", "g", changed)
+    found = let_sql(f"regexp_extract_all(z.text, {pattern}, 0)", "m", f"if(size(m) = 0, z, {held})")
+    return f"if({_may_hold(entity, 'z.text')}, {found}, z)"
+
+
+def _sums_before(lengths: str) -> str:
+    """SQL text: for each place of an array of ints, the sum of what stands before it, and one more.
+
+    In pieces as long as they are many, as arrays grow by copying.
+    """
+    width = "cast(ceil(sqrt(size(n))) as int)"
+    running = f"transform(sequence(1, size(n), {width}), s -> aggregate(slice(n, s, {width}), array(0), (acc, x) -> array_append(acc, element_at(acc, -1) + x)))"
+    moved = "concat(acc.out, transform(slice(r, 1, size(r) - 1), x -> x + acc.t))"
+    joined = f"aggregate({running}, named_struct('t', 0, 'out', cast(array() as array<int>)), (acc, r) -> named_struct('t', acc.t + element_at(r, -1), 'out', {moved}), acc -> acc.out)"
+    return let_sql(lengths, "n", joined)
+
+
+def _records_sql() -> str:
+    """SQL text: the records of a pass p. A match begins behind what stands before its gap, and the gap."""
+    before = _sums_before("zip_with(p.g, p.m, (x, y) -> octet_length(x) + coalesce(octet_length(y), 0))")
+    starts = f"zip_with({before}, p.g, (x, y) -> x + octet_length(y))"
+    record = "named_struct('entity_type', p.entity_type, 'offset', x.b, 'length', octet_length(x.m))"
+    seen = f"zip_with(zip_with(p.m, {starts}, (x, y) -> named_struct('m', x, 'b', y)), coalesce(p.k, transform(p.m, x -> true)), (x, y) -> named_struct('m', x.m, 'b', x.b, 'k', y))"
+    return f"transform(filter({seen}, x -> x.k), x -> {record})"
+
+
+@functools.lru_cache(64)
+def _redact_sql(entities: tuple[str, ...], validate_luhn: bool, tokens: tuple[tuple[str, str], ...]) -> str:
+    by, out = dict(tokens), _START
+    for entity in entities:
+        out = let_sql(out, "z", _step(entity, by[entity], entity == "credit_card" and validate_luhn))
+    records = f"if(size(z.passes) = 0, cast(array() as array<{RECORD}>), cast(flatten(transform(z.passes, p -> {_records_sql()})) as array<{RECORD}>))"
+    return let_sql(out, "z", f"named_struct('text', z.text, 'records', {records})")
+
+
+@functools.lru_cache(64)
+def _redact_text_sql(entities: tuple[str, ...], validate_luhn: bool, tokens: tuple[tuple[str, str], ...]) -> str:
+    by, out = dict(tokens), "t"
+    for entity in entities:
+        if entity == "credit_card" and validate_luhn:
+            card = let_sql(_START.replace("coalesce(t, '')", "y"), "z", _step(entity, by[entity], True))
+            out = let_sql(out, "y", f"if(y is null, y, ({card}).text)")
+        else:
+            literal = by[entity].replace("\\", "\\\\").replace("$", "\\$")
+            out = let_sql(out, "y", f"if({_may_hold(entity, 'y')}, regexp_replace(y, {sql_text('(?U)' + _EXECUTED[entity])}, {sql_text(literal)}), y)")
+    return out
 
 
 def redact(text: Column, entities: Sequence[str] = LIBRARY_ORDER, validate_luhn: bool = True, replacements: Mapping[str, str] | None = None) -> Column:
@@ -56,41 +119,10 @@ def redact(text: Column, entities: Sequence[str] = LIBRARY_ORDER, validate_luhn:
     gives an empty text without records.
     """
     tokens = {**REPLACEMENTS, **(replacements or {})}
-    state = lambda t, r: F.struct(t.alias("text"), r.alias("records"))
-
-    def apply(entity: str, z: Column) -> Column:
-        pattern, token = F.lit("(?U)" + _EXECUTED[entity]), F.lit(tokens[entity])
-        checked = entity == "credit_card" and validate_luhn
-
-        def replaced(m: Column, g: Column) -> Column:
-            """Matches m and the gaps g around them, one gap more than matches."""
-            taken = (lambda x: luhn_valid(x)) if checked else (lambda x: F.lit(True))
-            put = F.transform(m, lambda x: F.when(taken(x), token).otherwise(x)) if checked else F.transform(m, lambda x: token)
-            text = F.array_join(F.flatten(F.zip_with(g, F.concat(put, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-            before = lambda i: F.aggregate(F.slice(F.zip_with(g, m, lambda a, b: F.octet_length(a) + F.coalesce(F.octet_length(b), F.lit(0))), 1, i), F.lit(0), lambda acc, n: acc + n)
-            record = lambda x, i: F.struct(F.lit(entity).alias("entity_type"), (before(i) + F.octet_length(F.element_at(g, i + 1))).cast("int").alias("offset"), F.octet_length(x).alias("length"), taken(x).alias("_taken"))
-            made = F.filter(F.transform(m, record), lambda r: r["_taken"])
-            plain = F.transform(made, lambda r: F.struct(r["entity_type"].alias("entity_type"), r["offset"].alias("offset"), r["length"].alias("length")))
-            return state(text, F.concat(z["records"], plain))
-
-        found = F.regexp_extract_all(z["text"], pattern, F.lit(0))
-        change = let(found, lambda m: F.when(F.size(m) == 0, z).otherwise(let(F.split(z["text"], "(?U)" + _EXECUTED[entity], -1), lambda g: replaced(m, g))))
-        return F.when(_may_hold(entity, z["text"]), change).otherwise(z)
-
-    out = state(F.coalesce(text, F.lit("")), F.array().cast(f"array<{RECORD}>"))
-    for entity in entities:
-        out = let(out, _of(apply, entity))
-    return out
+    return apply_sql(text, "t", _redact_sql(tuple(entities), validate_luhn, tuple(sorted(tokens.items()))))
 
 
 def redact_text(text: Column, entities: Sequence[str] = LIBRARY_ORDER, validate_luhn: bool = True, replacements: Mapping[str, str] | None = None) -> Column:
     """The redacted text alone. Plain replacement, but for cards that need the Luhn test."""
     tokens = {**REPLACEMENTS, **(replacements or {})}
-    out = text
-    for entity in entities:
-        if entity == "credit_card" and validate_luhn:
-            out = let(out, lambda t: F.when(t.isNull(), t).otherwise(redact(t, ["credit_card"], True, tokens)["text"]))
-        else:
-            literal = tokens[entity].replace("\\", "\\\\").replace("$", "\\$")
-            out = let(out, _of(lambda e, t, r: F.when(_may_hold(e, t), F.regexp_replace(t, "(?U)" + _EXECUTED[e], r)).otherwise(t), entity, literal))
-    return out
+    return apply_sql(text, "t", _redact_text_sql(tuple(entities), validate_luhn, tuple(sorted(tokens.items()))))

@@ -13,6 +13,21 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def sql_text(value: str) -> str:
+    """A string as SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def let_sql(value: str, name: str, body: str) -> str:
+    """SQL text of ``body`` with ``value``, computed once, under ``name``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def apply_sql(value: Column, name: str, body: str) -> Column:
+    """``body``, SQL text over ``name`` alone, of a column. It reaches the JVM in one call, however large it is."""
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), 1)
+
+
 def as_text(message: Column) -> Column:
     """A message's text, or its text parts joined by line feeds; images are left out."""
     parts = F.transform(F.filter(message["parts"], lambda p: p["type"] == "text"), lambda p: p["text"])

@@ -5,13 +5,14 @@ Rules are Java regular expressions. ``(?U)`` is put before each, for Unicode cla
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import let
+from .functions.text import apply_sql, let_sql, sql_text
 
 
 @dataclass(frozen=True)
@@ -84,44 +85,52 @@ def invalid_rules(spark: SparkSession, rules: Sequence[Rule]) -> list[str]:
 
 #: Letters that Java folds to i, though simple case folding does not; a letter without case stands for them in a scan.
 _TURKIC, _CASELESS = "ıİ", "ʔ"
+#: A pattern of ASCII letters, white space, marks and groups only, that ignores case.
+_SIMPLE = re.compile(r"\(\?i\)(?:[A-Za-z_ /<>#:?|()-]|\\s[+*]|\[\\s-\]|\\[\[\]|])*")
 
 
-def matches(rule: Rule, text: Column, folded: Column) -> Column:
-    found = text.rlike("(?U)" + rule.pattern)
-    if not rule.needs:
-        return found
-    gate = folded.contains(rule.needs[0])
-    for literal in rule.needs[1:]:
-        gate = gate | folded.contains(literal)
-    return gate & found
+def executed(rule: Rule) -> str | None:
+    """What is executed for a simple rule, on the folded text: the pattern in lower case, without giving back white space.
 
+    Java folds every letter that it meets where case is ignored, and tries each split of a run of white space between
+    neighbours; on text folded beforehand neither is needed. What follows a run never begins with white space, so the
+    matches are the same (a test holds both forms against each other). None for rules that are not simple.
+    """
+    if not rule.needs or not _SIMPLE.fullmatch(rule.pattern):
+        return None
+    return "(?U)" + rule.pattern.removeprefix("(?i)").lower().replace(r"\s+", r"\s++").replace(r"\s*", r"\s*+")
 
-def simply_folding(text: Column) -> Column:
-    """The text as a scan that ignores case is to see it: dotless and dotted i are no i."""
-    return F.when(text.contains(_TURKIC[0]) | text.contains(_TURKIC[1]), F.translate(text, _TURKIC, 2 * _CASELESS)).otherwise(text)
 
+def _test_sql(rule: Rule) -> str:
+    """SQL text of a rule's test: o is the text, t without letters that only Java folds to i, f that in lower case."""
+    simple = executed(rule)
+    if simple:
+        found = f"f rlike {sql_text(simple)}"
+    else:  # a rule that names a dotless or dotted i itself meets the text as it is
+        found = f"{'o' if any(c in rule.pattern for c in _TURKIC) else 't'} rlike {sql_text('(?U)' + rule.pattern)}"
+    gates = " or ".join(f"contains(f, {sql_text(x)})" for x in rule.needs)
+    return f"(({gates}) and {found})" if gates else found
 
-def fold(text: Column) -> Column:
-    """Lower case; the long s and the Kelvin sign, which also match s and k, become these."""
-    return F.lower(F.when(text.contains("ſ") | text.contains("K"), F.translate(text, "ſK", "sk")).otherwise(text))
 
+#: Dotless and dotted i are no i for a scan that ignores case.
+_SIMPLY_FOLDING = f"case when contains(o, '{_TURKIC[0]}') or contains(o, '{_TURKIC[1]}') then translate(o, '{_TURKIC}', '{2 * _CASELESS}') else o end"
+#: Lower case; the long s and the Kelvin sign, which also match s and k, become these.
+_FOLD = "lower(case when contains(t, 'ſ') or contains(t, '\u212a') then translate(t, 'ſ\u212a', 'sk') else t end)"
 
-def _scanned(rules: Sequence[Rule], text: Column, use) -> Column:
-    """``use`` of a function from a rule to its test on the text; a rule that names a dotless or dotted i itself meets the text as it is."""
-    test = lambda r, x: matches(r, x["o"] if any(c in r.pattern for c in _TURKIC) else x["t"], x["f"])
-    seen = lambda t: F.struct(text.alias("o"), t.alias("t"), fold(t).alias("f"))
-    return let(simply_folding(text), lambda t: let(seen(t), lambda x: use(lambda r: test(r, x))))
+
+def _scanned(text: Column, body: str) -> Column:
+    return apply_sql(text, "o", let_sql(_SIMPLY_FOLDING, "t", let_sql(_FOLD, "f", body)))
 
 
 def first_match(rules: Sequence[Rule], text: Column) -> Column:
     """Least index of a rule that matches, or null. Patterns are plan literals, compiled once a task."""
     if not rules:
         return F.lit(None).cast("int")
-    return _scanned(rules, text, lambda test: F.coalesce(*[F.when(test(r), F.lit(i)) for i, r in enumerate(rules)]))
+    return _scanned(text, "case " + " ".join(f"when {_test_sql(r)} then {i}" for i, r in enumerate(rules)) + " end")
 
 
 def all_matches(rules: Sequence[Rule], text: Column) -> Column:
     """Indices of all rules that match, in order."""
     if not rules:
         return F.array().cast("array<int>")
-    return _scanned(rules, text, lambda test: F.array_compact(F.array(*[F.when(test(r), F.lit(i)) for i, r in enumerate(rules)])))
+    return _scanned(text, "array_compact(array(" + ", ".join(f"case when {_test_sql(r)} then {i} end" for i, r in enumerate(rules)) + "))")
