@@ -6,6 +6,7 @@ the query derives one from each row's own text, by the same rule in Spark and in
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,7 @@ from .plans.pipeline import Pipeline, response_redactor
 from .rules import BUNDLED, Rule, all_matches, first_match
 from .sources import audit as A
 from .sources import requests as Q
-from .sources.shared import scratch_path
+from .sources.shared import scratch_path, spread
 from .streaming import rates as SR
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +48,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def _quoted(s: str) -> str:
@@ -320,6 +322,7 @@ MAX_BYTES, WORDS_RULE = 12_000, S.PolicyRule("words", ("scum", "moron"))
 _MIXED = _ATTACKS + _SECRETS
 
 
+@functools.cache
 def _flagship() -> Pipeline:
     return Pipeline([S.RegexInjection(), S.PiiRedactor(P.CONFIG_ORDER), S.PolicyEngine([WORDS_RULE]), S.MaxLengthGuard(MAX_BYTES)])
 

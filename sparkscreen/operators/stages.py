@@ -39,6 +39,14 @@ def allow() -> Column:
 class Stage:
     name = "stage"
 
+    def _once(self, key: str, inputs: tuple[Column, ...], make: Callable[[], Column]) -> Column:
+        """``make()``, kept for the next time that it is asked for with the very same inputs and settings."""
+        kept, settings = self.__dict__.setdefault("_kept", {}), repr(self)
+        known = kept.get(key)
+        if known is None or known[1] != settings or len(known[0]) != len(inputs) or any(a is not b for a, b in zip(known[0], inputs)):
+            known = kept[key] = (inputs, settings, make())
+        return known[2]
+
     def prepare(self, df: DataFrame, messages: Column, active: Column) -> DataFrame:
         return df
 
@@ -71,7 +79,7 @@ class RegexInjection(Stage):
             reason = None if self.log_only else F.concat(F.lit("Prompt injection detected (rule: "), rule, F.lit(")."))
             return F.when(i.isNull(), allow()).otherwise(finding(action, reason, None if self.log_only else "prompt_injection", detail=rule))
 
-        return T.let(T.all_text(messages), lambda t: T.let(R.first_match(self.rules, t), judged))
+        return self._once("finding", (messages,), lambda: T.let(T.all_text(messages), lambda t: T.let(R.first_match(self.rules, t), judged)))
 
 
 Scorer = Callable[[Iterator[pd.Series]], Iterator[pd.Series]] | Callable[[Column], Column]
@@ -169,12 +177,15 @@ class PiiRedactor(Stage):
             changed = lambda z: F.when(F.size(z["records"]) == 0, plain).otherwise(F.struct(m["role"].alias("role"), z["text"].alias("text"), F.lit(None).alias("parts")).cast(MESSAGE))
             return T.let(self.redacted(T.as_text(m)), lambda z: F.struct(changed(z).alias("message"), z["records"].alias("records")))
 
-        return df.withColumn("_pii", F.when(active, F.transform(messages, one)))
+        return df.withColumn("_pii", self._once("prepare", (messages, active), lambda: F.when(active, F.transform(messages, one))))
 
     def records(self) -> Column:
         return F.coalesce(F.flatten(F.transform("_pii", lambda x: x["records"])), F.array().cast(f"array<{RECORD}>"))
 
     def finding(self, df, messages):
+        return self._once("finding", (), self._judged)
+
+    def _judged(self) -> Column:
         found = F.array_distinct(F.transform(self.records(), lambda r: r["entity_type"]))
 
         def judged(e: Column) -> Column:
@@ -190,7 +201,7 @@ class PiiRedactor(Stage):
         return T.let(found, judged)
 
     def rewritten(self, df, messages):
-        return F.transform("_pii", lambda x: x["message"]) if self.action == "redact" else None
+        return self._once("rewritten", (), lambda: F.transform("_pii", lambda x: x["message"])) if self.action == "redact" else None
 
 
 @dataclass(frozen=True)
@@ -242,7 +253,7 @@ class PolicyEngine(Stage):
                 out = F.when(cond, then) if out is None else out.when(cond, then)
             return out.otherwise(allow())
 
-        return T.let(T.all_text(messages), lambda t: T.let(F.lower(t), lambda low: judged(t, low)))
+        return self._once("finding", (messages,), lambda: T.let(T.all_text(messages), lambda t: T.let(F.lower(t), lambda low: judged(t, low))))
 
 
 @dataclass
@@ -269,7 +280,8 @@ class MaxLengthGuard(Stage):
 
     def finding(self, df, messages):
         reason = lambda n: F.concat(F.lit("Request content is "), n.cast("string"), F.lit(f" bytes, exceeds limit of {self.max_bytes}."))
-        return T.let(F.octet_length(T.all_text(messages)), lambda n: F.when(n > self.max_bytes, finding("block", reason(n), "policy_violation")).otherwise(allow()))
+        judged = lambda n: F.when(n > self.max_bytes, finding("block", reason(n), "policy_violation")).otherwise(allow())
+        return self._once("finding", (messages,), lambda: T.let(F.octet_length(T.all_text(messages)), judged))
 
 
 @dataclass

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tomllib
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
@@ -31,6 +31,13 @@ MADE_COLUMNS = frozenset(("decision", "reason", "code", "entities", "score", "st
 class Pipeline:
     def __init__(self, stages: Sequence[S.Stage] = ()):
         self.stages = list(stages)
+        self._kept: dict = {}
+
+    def _inputs(self) -> tuple[Column, Column]:
+        """The messages, and whether a row is not blocked yet: the same columns each time, so that stages can keep what they made of them."""
+        if "inputs" not in self._kept:
+            self._kept["inputs"] = F.col("messages"), ~F.col("_blocked")
+        return self._kept["inputs"]
 
     def stage(self, stage: S.Stage) -> Pipeline:
         """Adds a stage at the end."""
@@ -52,10 +59,11 @@ class Pipeline:
             raise ValueError(f"rename the columns {', '.join(clashes)}: the pipeline makes columns of such names")
         df = requests.withColumns({"messages": F.coalesce("messages", F.array().cast(requests.schema["messages"].dataType)), "_blocked": F.lit(False)})
         made, scratch = [], ["_blocked"]
+        messages, active = self._inputs()
         for i, stage in enumerate(self.stages):
-            col, messages = f"_stage{i}", F.col("messages")
-            df = stage.prepare(df, messages, ~F.col("_blocked"))
-            df = df.withColumn(col, F.when(~F.col("_blocked"), stage.finding(df, messages)))
+            col = f"_stage{i}"
+            df = stage.prepare(df, messages, active)
+            df = df.withColumn(col, F.when(active, stage.finding(df, messages)))
             changed = stage.rewritten(df, messages)
             if changed is not None:
                 df = df.withColumn("messages", F.when(F.col(f"{col}.action") == "redact", changed).otherwise(messages))
@@ -64,28 +72,14 @@ class Pipeline:
             scratch.append(col)
         if not made:
             return df.drop("_blocked").withColumns({"decision": F.lit("allow"), "reason": F.lit(None).cast("string"), "code": F.lit(None).cast("string"), "entities": F.array().cast("array<string>"), "score": F.lit(None).cast("double"), "stage": F.lit(None).cast("string"), "stage_trace": F.array().cast("array<struct<stage:string,action:string>>")})
-        ran = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(n).alias("stage"), F.col(c).alias("f"))) for c, n in made]))
+        names = tuple(made)
+        if names not in self._kept:
+            self._kept[names] = _folded(made)
+        ran, out = self._kept[names]
         df = df.withColumn("_ran", ran)
-        blocks = F.filter("_ran", lambda x: x["f"]["action"] == "block")
-        redactions = F.filter("_ran", lambda x: x["f"]["action"] == "redact")
-        block = F.try_element_at(blocks, F.lit(1))
-        last = F.coalesce(block, F.try_element_at(redactions, F.lit(-1)))
-        decision = F.when(F.size(blocks) > 0, "block").when(F.size(redactions) > 0, "redact").otherwise("allow")
-        reasons = F.when(F.size(redactions) > 0, F.array_join(F.transform(redactions, lambda x: x["f"]["reason"]), "; "))
-        found = F.array_distinct(F.flatten(F.transform(redactions, lambda x: x["f"]["entities"])))
-        out = {
-            "decision": decision,
-            "reason": F.when(F.size(blocks) > 0, block["f"]["reason"]).otherwise(reasons),
-            "code": block["f"]["code"],
-            "entities": F.when(F.size(blocks) > 0, F.array().cast("array<string>")).otherwise(found),
-            "score": last["f"]["score"],
-            "stage": last["stage"],
-            "stage_trace": F.transform("_ran", lambda x: F.struct(x["stage"].alias("stage"), x["f"]["action"].alias("action"))),
-            "stage_details": F.map_from_entries(F.transform(F.filter("_ran", lambda x: x["f"]["detail"].isNotNull()), lambda x: F.struct(x["stage"], x["f"]["detail"]))),
-        }
         # One row in, one row out: a filter on the decision stops here, instead of being copied with all it stands for below every stage.
         kept = [c for c in df.columns if c not in ("_ran", *scratch)]
-        return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in out.items()]))))
+        return df.select(*kept, out)
 
     def check(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """Dry run of texts: decision, reason, code, entities and the redacted text."""
@@ -141,6 +135,29 @@ class Pipeline:
         return cls.from_config(spark, tomllib.loads(text), scorers)
 
 
+def _folded(made: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
+    """Column ``_ran`` of (finding column, stage name) pairs, and from it the columns of the result."""
+    ran = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(n).alias("stage"), F.col(c).alias("f"))) for c, n in made]))
+    blocks = F.filter("_ran", lambda x: x["f"]["action"] == "block")
+    redactions = F.filter("_ran", lambda x: x["f"]["action"] == "redact")
+    block = F.try_element_at(blocks, F.lit(1))
+    last = F.coalesce(block, F.try_element_at(redactions, F.lit(-1)))
+    decision = F.when(F.size(blocks) > 0, "block").when(F.size(redactions) > 0, "redact").otherwise("allow")
+    reasons = F.when(F.size(redactions) > 0, F.array_join(F.transform(redactions, lambda x: x["f"]["reason"]), "; "))
+    found = F.array_distinct(F.flatten(F.transform(redactions, lambda x: x["f"]["entities"])))
+    out = {
+        "decision": decision,
+        "reason": F.when(F.size(blocks) > 0, block["f"]["reason"]).otherwise(reasons),
+        "code": block["f"]["code"],
+        "entities": F.when(F.size(blocks) > 0, F.array().cast("array<string>")).otherwise(found),
+        "score": last["f"]["score"],
+        "stage": last["stage"],
+        "stage_trace": F.transform("_ran", lambda x: F.struct(x["stage"].alias("stage"), x["f"]["action"].alias("action"))),
+        "stage_details": F.map_from_entries(F.transform(F.filter("_ran", lambda x: x["f"]["detail"].isNotNull()), lambda x: F.struct(x["stage"], x["f"]["detail"]))),
+    }
+    return ran, F.inline(F.array(F.struct(*[c.alias(n) for n, c in out.items()])))
+
+
 def redactor_from(settings: Mapping) -> S.PiiRedactor:
     return S.PiiRedactor(settings.get("entities", P.CONFIG_ORDER), settings.get("validate_luhn", True), settings.get("replacements", {}), settings.get("action", "redact"))
 

@@ -7,7 +7,7 @@ import posixpath
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reach_workers(spark: SparkSession) -> None:
@@ -36,3 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return posixpath.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+#: A table with less than so many bytes for each core may be a few row groups, or one, and as few tasks.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores if it is so small that its files may be read by fewer; a larger one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
