@@ -114,7 +114,9 @@ def mixed_rows(docs: DataFrame, most: int = MOST, weights: int = WEIGHTS) -> Dat
     plan = plan.filter("taken > 0").select(key(F.col("doc_id")).alias("k"), F.col("size").alias("z"), F.struct("doc_id", "taken", "rows").alias("plan"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key(docs["doc_id"]).alias("k"), word_count(text_or_empty(docs["text"])).alias("z"))
     numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("k", "z").orderBy("k")))
-    found = numbered.join(plan.hint("merge"), ["k", "z"]).filter(F.col("row.doc_id").eqNullSafe(F.col("plan.doc_id")))
+    # not as a plain equality, which would become a key of the join and shuffle the texts once more
+    own, planned = F.col("row.doc_id"), F.col("plan.doc_id")
+    found = numbered.join(plan.hint("merge"), ["k", "z"]).filter(F.coalesce(own == planned, own.isNull() & planned.isNull()))
     taken = F.floor(F.col("plan.taken") / F.col("plan.rows")) + (F.col("nth") <= F.col("plan.taken") % F.col("plan.rows")).cast("int")
     copies = found.withColumn("taken", taken).select("row", "z", "taken", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("z")).cast("int"))).alias("copy")).filter("taken > 0")
     left = (F.col("taken") - (F.col("copy") - 1) * F.col("z")).cast("int")
