@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..model import RECORD
-from ..sources.requests import _kind, _list, _map, _string, string_variant
+from ..sources.requests import _list, _map, _string, refuse_columns, string_variant
 from .stages import PiiRedactor
 
 
@@ -49,6 +49,7 @@ def redact_response_bodies(responses: DataFrame, redactor: PiiRedactor, body_col
     Takes choices[].message.content and content[] blocks of type text. A body that is a stream, not
     JSON, of another shape or clean stays as it is, to the letter.
     """
+    refuse_columns(responses, ("total_redactions", "entity_types"), "redaction")
     able = is_redactable(F.col(stream_col), F.col(type_col))
     df = responses.withColumn("_map", F.when(able, _map(F.try_parse_json(F.col(body_col)))))
     df = df.withColumn("_openai", _openai(redactor, F.col("_map"))).withColumn("_anthropic", _anthropic(redactor, F.col("_map")))

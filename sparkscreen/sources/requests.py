@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,35 +90,57 @@ def _parsed_message(item: Column, i: Column) -> Column:
     return T.let(_map(item), whole)
 
 
-def parse_requests(bodies: DataFrame, body_col: str = "body", max_body: int = MAX_BODY, path_col: str | None = None) -> DataFrame:
+#: Columns that parsing makes.
+PARSED_COLUMNS = ("parse_error", "reject_code", "model", "stream", "messages", "extra")
+
+
+def refuse_columns(df: DataFrame, made: Iterable[str], what: str) -> None:
+    """An error for columns that ``what`` would overwrite, and for those that begin with an underscore, as its own do."""
+    clashes = sorted(c for c in df.columns if c.lower() in made or c.startswith("_"))
+    if clashes:
+        raise ValueError(f"rename the columns {', '.join(clashes)}: {what} makes columns of such names")
+
+
+def parse_requests(bodies: DataFrame, body_col: str = "body", max_body: int = MAX_BODY, path_col: str | None = None, salt: str = "") -> DataFrame:
     """``bodies`` plus request columns, reject_code and parse_error; a bad body is a row with an error, not a failure.
 
-    request_id and received_at are kept if given, else made here, once. Content that is a string,
-    null or a list of parts is taken; the fields that are not understood go to ``extra``.
+    request_id and received_at are kept if given. If not, received_at is the time of the query, and request_id the digest of the body,
+    of the row's place in the input and of ``salt``, in the form of a UUID: an input that is read again gives the same ids. Inputs that
+    are joined later need salts of their own. Rows of a stream have no place, and get random ids. Content that is a string,
+    null or a list of parts is taken; the fields that are not understood go to ``extra``. ``bodies`` must not have columns
+    of the names that are made here, nor of names that begin with an underscore.
     """
+    refuse_columns(bodies, PARSED_COLUMNS, "parsing")
     df = bodies
-    if "request_id" not in df.columns:
+    if "request_id" not in df.columns and df.isStreaming:
         df = df.withColumn("request_id", F.expr("uuid()"))
+    elif "request_id" not in df.columns:
+        digest = F.md5(F.concat_ws(":", F.coalesce(F.col(body_col), F.lit("")), F.monotonically_increasing_id().cast("string"), F.lit(salt)).cast("binary"))
+        # version and variant of a UUID made from a digest
+        df = df.withColumn("request_id", F.regexp_replace(digest, "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-3$3-8$4-$5"))
     if "received_at" not in df.columns:
         df = df.withColumn("received_at", F.current_timestamp())
     if "provider" not in df.columns:
         df = df.withColumn("provider", T.provider_for_path(F.col(path_col)) if path_col else F.lit("openai"))
     too_large = F.coalesce(F.octet_length(body_col) > max_body, F.lit(False))
-    df = df.withColumn("_map", F.when(~too_large, _map(F.try_parse_json(F.col(body_col)))))
-    listed = _list(F.col("_map")["messages"])
-    df = df.withColumn("_parsed", F.transform(listed, _parsed_message))
+    df = df.withColumn("_json", F.when(~too_large, F.try_parse_json(F.col(body_col))))
+    df = df.withColumn("_map", _map(F.col("_json")))
+    df = df.withColumn("_parsed", F.transform(_list(F.col("_map")["messages"]), _parsed_message))
     model = _string(F.col("_map")["model"])
     error = (
         F.when(too_large, "request body too large")
-        .when(F.col("_map").isNull() & F.try_parse_json(F.col(body_col)).isNull(), "body is not JSON")
+        .when(F.col("_json").isNull(), "body is not JSON")
         .when(model.isNull(), "missing or invalid 'model' field")
         .when(~F.coalesce(F.map_contains_key("_map", "messages"), F.lit(False)), "missing 'messages' field")
         .when(F.col("_parsed").isNull(), "'messages' must be an array")
         .otherwise(F.try_element_at(F.array_compact(F.transform("_parsed", lambda x: x["error"])), F.lit(1)))
     )
+    df = df.withColumn("_error", error)
     stream = F.when(_kind(F.col("_map")["stream"]) == "BOOLEAN", F.try_variant_get(F.col("_map")["stream"], "$", "boolean"))
-    out = df.withColumns({"parse_error": error, "reject_code": F.when(too_large, "payload_too_large").when(error.isNotNull(), "bad_request"), "model": model, "stream": F.coalesce(stream, F.lit(False)), "messages": F.transform("_parsed", lambda x: x["message"]).cast(MESSAGES), "extra": F.map_filter("_map", lambda k, _: ~k.isin("model", "messages", "stream"))})
-    return out.drop("_map", "_parsed")
+    values = (F.col("_error"), F.when(too_large, "payload_too_large").when(F.col("_error").isNotNull(), "bad_request"), model, F.coalesce(stream, F.lit(False)), F.transform("_parsed", lambda x: x["message"]).cast(MESSAGES), F.map_filter("_map", lambda k, _: ~k.isin("model", "messages", "stream")))
+    kept = [c for c in df.columns if c not in ("_json", "_map", "_parsed", "_error")]
+    # One row in, one row out: a filter on the error stops here, instead of parsing each body once for itself.
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(c) for c, v in zip(PARSED_COLUMNS, values)]))))
 
 
 def quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -24,7 +24,7 @@ def write_screened(df: DataFrame, number: int, pipeline: Pipeline, path: str, **
     failure, wherever that was, leaves no double and no half. Identities that are made here (request_id, received_at) are
     fixed by the first writing, from which all four tables are taken.
     """
-    good, bad = quarantine(parse_requests(df, **parse))
+    good, bad = quarantine(parse_requests(df, **{"salt": str(number), **parse}))
     staged = lambda kind: _folder(path, f"{_STAGED}-{kind}", number)
     spark = df.sparkSession
     decided = pipeline.run(good).drop("extra")  # a map of variants, which the tables of decisions do not need
