@@ -9,11 +9,15 @@ verified bit by bit. What is left are candidates only: their shingle sets are fe
 link if the sets themselves have the similarity.
 
 The number of bits in a choice follows the number of documents, and the number of choices follows
-from it so that a pair at the limit shares a key with probability ``RECALL``. A crowded key is not
-paired up: its members are compared with one leader after another, and those similar to a leader
-leave with it; this is done twice, with leaders drawn anew. What no leader takes is paired up if it
-is few. If not, it is alike in bits but not in words, and is keyed anew, by its rarest shingles, of which
-similar sets share one; only what is still crowded then is compared chunk by chunk.
+from it so that a pair at the limit shares a key with probability ``RECALL``. Only which documents are
+connected matters, so the members of crowded keys are first compared with one leader after another, and
+connected with those similar to them. This takes no pair away: whatever is not connected by it is
+compared as every other pair is. Keys with few members are paired up, but for pairs that are connected
+already; crowded keys with more than one component left are compared in blocks within tasks, where
+only what connects comes out. A key larger than a block is alike in bits, but perhaps not in words: its
+members are keyed anew, by their rarest shingles, of which similar sets share one. If such a key is
+too large for a block as well, its largest component is compared with all others, not with itself.
+So the groups do not depend on the number of leaders, nor on where crowds and blocks begin.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from .components import components
 from .simhash import _BATCH_SHINGLES, _signed, pivots, shingle_hashes
 
 SHINGLE, WORDS, SIMILARITY, SLACK, RECALL, CROWD, CHUNK, FIRST_SLACK = 5, 4, 0.8, 3.0, 0.97, 24, 1000, 3.7
-KEY_PIVOTS, WHOLE_PIVOTS, CHUNK_SHINGLES, STAR_ROUNDS, STAR_YIELD, STAR_PASSES = 12, 4, 2_000_000, 3, 10, 2
+KEY_PIVOTS, WHOLE_PIVOTS, CHUNK_SHINGLES, STAR_ROUNDS, STAR_YIELD = 12, 4, 2_000_000, 3, 10
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -168,17 +172,17 @@ def _alike(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return written(checked.filter(F.col("both") / (F.col("n") + F.col("n2") - F.col("both")) >= similarity).select("u", "v"), "alike")
 
 
-def _star_links(active: DataFrame, test, crowd: int, seed: int) -> tuple[list[DataFrame], DataFrame]:
-    """Links of crowded keys, and the (key, node) that are left, from (key, node).
+def _star_links(active: DataFrame, test) -> list[DataFrame]:
+    """Links of the members of crowded keys (key, node) with leaders.
 
     In each round a key's leader is compared with all its members; those similar to it are linked to
-    it and leave the key, as does the leader. A group of near copies so costs a row for each member,
+    it and leave the rounds, as does the leader. A group of near copies so costs a row for each member,
     not for each pair. It goes on while a round takes at least one in ``STAR_YIELD`` of the members.
     """
     links, left = [], active.count()
     for n in range(STAR_ROUNDS):
-        sizes = active.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(seed + n))).alias("v"), F.count("*").alias("members"))
-        leaders = written(sizes.filter(F.col("members") > crowd).select("key", "v"), "leaders")
+        sizes = active.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(n))).alias("v"), F.count("*").alias("members"))
+        leaders = written(sizes.filter(F.col("members") > 1).select("key", "v"), "leaders")
         met = active.join(leaders, "key").withColumnRenamed("node", "u")
         found = test(met.filter("u <> v").select("u", "v").distinct())
         links.append(found)
@@ -187,62 +191,140 @@ def _star_links(active: DataFrame, test, crowd: int, seed: int) -> tuple[list[Da
         before, left = left, active.count()
         if not left or (before - left) * STAR_YIELD < before:
             break
-    return links, active
-
-
-def _pairs(members: DataFrame) -> DataFrame:
-    """(key, node) of keys with few members -> all their pairs (u, v), each once."""
-    other = members.select("key", F.col("node").alias("v"))
-    return members.withColumnRenamed("node", "u").join(other, "key").filter("u < v").select("u", "v").distinct()
+    return links
+
+
+def _rooted(members: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """``members`` with the ``root`` of each node's component, by the links so far."""
+    if not links:
+        return members.withColumn("root", F.col("node"))
+    roots = written(components(functools.reduce(DataFrame.unionByName, links)), "roots")
+    found = small(roots.select(F.col("u").alias("node"), F.col("root").alias("known")), roots.count(), 32)
+    return members.join(found, "node", "left").withColumn("root", F.coalesce("known", "node")).drop("known")
+
+
+def _open(crowded: DataFrame) -> DataFrame:
+    """(key, node, root): members of the keys that hold more than one component, with ``members`` of the key."""
+    several = crowded.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return written(crowded.join(several.select("key", "members"), "key"), "open")
+
+
+class _Search:
+    """What all comparisons of one search need: the whole-width table, the texts, the limits."""
+
+    def __init__(self, table: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, words: int):
+        self.table, self.nodes, self.docs, self.similarity, self.words = table, nodes, docs, similarity, words
+        self.limit = most_bits(similarity, words)
+
+    def sets(self, of: DataFrame) -> DataFrame:
+        """(node, shingles) of the nodes in ``of``."""
+        return written(_sets_of(self.nodes.select("node", "th").join(of.select("node").distinct(), "node", "left_semi").select("th"), self.docs), "sets")
+
+    def test(self, sets: DataFrame):
+        return lambda pairs: _alike(_near(pairs, self.table, self.limit, self.similarity, self.words), sets, self.similarity)
+
+    def links(self, keyed: DataFrame, known: list[DataFrame], sets: DataFrame | None = None) -> tuple[list[DataFrame], DataFrame]:
+        """(key, node, f0) and the links known -> more links, and (key, node, root, members) of keys too large for a block."""
+        shared = written(keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
+        crowded = written(keyed.select("key", "node").join(shared.filter(F.col("members") > CROWD).select("key"), "key"), "crowded")
+        links, crowds = [], not crowded.isEmpty()
+        if crowds:
+            of_crowds = self.sets(crowded) if sets is None else sets
+            links += _star_links(crowded, self.test(of_crowds))
+        few = _rooted(keyed.join(shared.filter(F.col("members") <= CROWD).select("key"), "key"), known + links)
+        other = few.select("key", F.col("node").alias("v"), F.col("f0").alias("g0"), F.col("root").alias("root2"))
+        # the first of the words alone discards nearly all pairs by chance before anything is gathered for them
+        first = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) <= most_bits(self.similarity, 1, FIRST_SLACK)
+        met = few.withColumnRenamed("node", "u").join(other, "key").filter((F.col("u") < F.col("v")) & (F.col("root") != F.col("root2")) & first).select("u", "v").distinct()
+        near = _near(met, self.table, self.limit, self.similarity, self.words)
+        if not near.isEmpty():
+            links.append(_alike(near, self.sets(near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node")))) if sets is None else sets, self.similarity))
+        if not crowds:
+            return links, crowded.selectExpr("key", "node", "node as root", "0L as members")
+        still = _open(_rooted(crowded, known + links))
+        links.append(self.in_blocks(still.filter(F.col("members") <= CHUNK), of_crowds))
+        return links, still.filter(F.col("members") > CHUNK)
+
+    def in_blocks(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """(key, node, root) -> links between the components of each key; only links that connect come out.
+
+        A key's largest component and its other members are cut into chunks of bounded members and
+        shingles. Every two chunks are compared in a task, but for two of the largest component: first by
+        bits, then, of members with a near one in another component, by their sets.
+        """
+        names = [f"f{i}" for i in range(self.words)]
+        limit, similarity = self.limit, self.similarity
+
+        def near_ones(f, n, root, i):
+            at = np.flatnonzero((np.bitwise_count(f[:i] ^ f[i]).sum(axis=1) <= limit) & (root[:i] != root[i]))
+            return at[np.minimum(n[at], n[i]) >= similarity * np.maximum(n[at], n[i])]
+
+        def by_bits(block: pd.DataFrame) -> pd.DataFrame:
+            f, n, root = block[names].to_numpy(np.int64).view(np.uint64), block["n"].to_numpy(), block["root"].to_numpy()
+            able = np.zeros(len(f), bool)
+            for i in range(1, len(f)):
+                at = near_ones(f, n, root, i)
+                able[at] = True
+                able[i] |= len(at) > 0
+            return block.loc[able, ["key", "a", "b", "node", "root"]]
+
+        def by_sets(block: pd.DataFrame) -> pd.DataFrame:
+            f, n, root = block[names].to_numpy(np.int64).view(np.uint64), block["n"].to_numpy(), block["root"].to_numpy()
+            node, found, out = block["node"].to_numpy(), block["shingles"].to_list(), []
+            up = {r: r for r in root.tolist()}
+
+            def find(r):
+                while up[r] != r:
+                    up[r] = up[up[r]]
+                    r = up[r]
+                return r
+
+            for i in range(1, len(f)):
+                for j in near_ones(f, n, root, i).tolist():
+                    a, b = find(int(root[i])), find(int(root[j]))
+                    if a != b:
+                        both = len(np.intersect1d(found[i], found[j], assume_unique=True))
+                        if both / (n[i] + n[j] - both) >= similarity:
+                            up[max(a, b)] = min(a, b)
+                            out.append((node[i], node[j]))
+            return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+        chunks = lambda members, shingles: F.ceil(F.greatest(members / CHUNK, shingles / CHUNK_SHINGLES)).cast("int")
+        sized = members.select("key", "node", "root").join(self.table.select("node", "n"), "node")
+        of_root = sized.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        of_key = of_root.groupBy("key").agg(F.max_by(F.struct("root", "c", "s"), F.struct("c", "root")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+        one = chunks(F.col("c"), F.col("s")) == 1
+        cut = written(of_key.select("key", F.when(~one, F.col("top.root")).alias("top"), F.when(one, 0).otherwise(chunks(F.col("top.c"), F.col("top.s"))).alias("own"), F.when(one, 1).otherwise(chunks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s"))).alias("others")), "chunks")
+        in_top = F.coalesce(F.col("root") == F.col("top"), F.lit(False))
+        at = F.when(in_top, F.pmod(F.xxhash64("node"), F.greatest("own", F.lit(1)))).otherwise(F.col("own") + F.pmod(F.xxhash64("node"), F.greatest("others", F.lit(1)))).cast("int")
+        dealt = members.select("key", "node", "root").join(cut, "key").withColumn("chunk", at)
+        tasks = dealt.withColumn("with", F.explode(F.sequence(F.when(in_top, F.col("own")).otherwise(0), F.col("own") + F.col("others") - 1))).select("key", F.least("chunk", "with").alias("a"), F.greatest("chunk", "with").alias("b"), "node", "root")
+        prints = self.table.select("node", "n", *names)
+        able = written(tasks.join(prints, "node").groupBy("key", "a", "b").applyInPandas(by_bits, "key long, a int, b int, node long, root long"), "able")
+        return written(able.join(prints, "node").join(sets, "node").groupBy("key", "a", "b").applyInPandas(by_sets, "u long, v long"), "block_links")
 
 
 def wide_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
     """(node, th, n, f0, f1, ...) from a written table -> links (u, v) that span the near copies.
 
-    Every link is of two nodes whose shingle sets, made from the texts in ``docs``, have the similarity.
+    Every link is of two nodes whose shingle sets, made from the texts in ``docs``, have the similarity,
+    and every two such nodes that share a key are connected.
     """
-    limit, total = most_bits(similarity, words), nodes.count()
     names = [f"f{i}" for i in range(words)]
     whole = [_to_pivot(KEY_PIVOTS + k, [(1 << 64) - 1] * words, words).cast("short").alias(f"c{k}") for k in range(WHOLE_PIVOTS)]
     table = written(nodes.select("node", "n", *names, *whole), "pivots")
-    rows = written(nodes.select("node", *names).mapInArrow(_keyed(_choices(total, words, similarity, recall), words), "node long, key long, f0 long"), "keys")
-    shared = written(rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
-    few = rows.join(shared.filter(F.col("members") <= CROWD).select("key"), "key")
-    # the first of the words alone discards nearly all pairs by chance before anything is gathered for them
-    first = most_bits(similarity, 1, FIRST_SLACK)
-    met = few.withColumnRenamed("node", "u").join(few.select("key", F.col("node").alias("v"), F.col("f0").alias("g0")), "key").filter((F.col("u") < F.col("v")) & (F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) <= first)).select("u", "v").distinct()
-    close = _near(met, table, limit, similarity, words)
-    crowded = written(rows.select("key", "node").join(shared.filter(F.col("members") > CROWD).select("key"), "key"), "crowded")
-    able = close.select(F.col("u").alias("node")).unionByName(close.select(F.col("v").alias("node"))).unionByName(crowded.select("node")).distinct()
-    sets = written(_sets_of(nodes.select("node", "th").join(able, "node").select("th"), docs), "sets")
-    test = lambda pairs: _alike(_near(pairs, table, limit, similarity, words), sets, similarity)
-    links = [_alike(close, sets, similarity)]
-    found, rest = _crowd_links(crowded, test)
-    links += found
-    if not rest.isEmpty():
-        # a crowd that no leader takes is alike in bits only; its sets themselves tell who can be similar
-        keyed = written(_rare_shingles(rest.select("node").distinct(), sets, similarity), "prefixes")
-        sized = written(keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
-        links.append(test(_pairs(keyed.join(sized.filter(F.col("members") <= CROWD).select("key"), "key"))))
-        found, rest = _crowd_links(written(keyed.join(sized.filter(F.col("members") > CROWD).select("key"), "key"), "crowded"), test)
-        links += found
-        if not rest.isEmpty():
-            links.append(_chunk_links(rest, table, sets, limit, similarity, words))
-    return functools.reduce(DataFrame.unionByName, links)
-
-
-def _crowd_links(crowded: DataFrame, test) -> tuple[list[DataFrame], DataFrame]:
-    """Links of crowded keys, and the (key, node, members) of keys that are crowded still."""
-    links, left = [], crowded
-    if not crowded.isEmpty():
-        for seed in range(0, STAR_PASSES * STAR_ROUNDS, STAR_ROUNDS):
-            found, left = _star_links(crowded, test, CROWD, seed)
-            links += found
-    counts = written(left.groupBy("key").agg(F.count("*").alias("members")), "left")
-    few = written(left.join(counts.filter(F.col("members") <= CROWD).select("key"), "key"), "few")
-    if not few.isEmpty():
-        links.append(test(_pairs(few)))
-    return links, written(left.join(counts.filter(F.col("members") > CROWD), "key"), "rest")
+    keyed = written(nodes.select("node", *names).mapInArrow(_keyed(_choices(nodes.count(), words, similarity, recall), words), "node long, key long, f0 long"), "keys")
+    search = _Search(table, nodes, docs, similarity, words)
+    links, large = search.links(keyed, [])
+    if not large.isEmpty():
+        # alike in bits; the sets themselves tell who can be similar
+        sets = search.sets(large)
+        rare = written(_rare_shingles(large.select("node").distinct(), sets, similarity).join(table.select("node", "f0"), "node"), "prefixes")
+        more, large = search.links(rare, links, sets)
+        links += more
+        if not large.isEmpty():
+            links.append(search.in_blocks(_open(_rooted(large.select("key", "node"), links)), sets))
+    return functools.reduce(DataFrame.unionByName, links) if links else table.selectExpr("node as u", "node as v").limit(0)
 
 
 def _rare_shingles(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -254,41 +336,6 @@ def _rare_shingles(nodes: DataFrame, sets: DataFrame, similarity: float) -> Data
     return ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1) & (F.col("often") > 1)).select("key", "node")
 
 
-def _chunk_links(members: DataFrame, table: DataFrame, sets: DataFrame, limit: int, similarity: float, words: int) -> DataFrame:
-    """(key, node) of crowded keys -> links that span each key's groups.
-
-    Every two chunks of a key, of bounded members and shingles, are compared in a task: by bits, then
-    by the sets of those not yet connected there. Only links that connect come out.
-    """
-    names = [f"f{i}" for i in range(words)]
-
-    def link(chunk: pd.DataFrame) -> pd.DataFrame:
-        f, n = chunk[names].to_numpy(np.int64).view(np.uint64), chunk["n"].to_numpy()
-        node, found, root, out = chunk["node"].to_numpy(), chunk["shingles"].to_list(), list(range(len(chunk))), []
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i in range(1, len(f)):
-            near = np.flatnonzero(np.bitwise_count(f[:i] ^ f[i]).sum(axis=1) <= limit)
-            for j in near[np.minimum(n[near], n[i]) / np.maximum(n[near], n[i]) >= similarity].tolist():
-                a, b = find(i), find(j)
-                if a != b:
-                    both = len(np.intersect1d(found[i], found[j], assume_unique=True))
-                    if both / (n[i] + n[j] - both) >= similarity:
-                        root[max(a, b)] = min(a, b)
-                        out.append((node[i], node[j]))
-        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
-
-    sizes = members.join(table.select("node", "n"), "node").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    dealt = members.select("key", "node").join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    tasks = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.least("chunk", "with").alias("a"), F.greatest("chunk", "with").alias("b"), "node")
-    return tasks.join(table.select("node", "n", *names), "node").join(sets, "node").groupBy("key", "a", "b").applyInPandas(link, "u long, v long")
-
-
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each group of near copies: that with the least doc_id.
 

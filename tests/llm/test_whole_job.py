@@ -61,3 +61,21 @@ def test_head_without_its_end_tag(head):
     found = html_text.blocks(f"<!doctype html><html>{head}<article><h1>A</h1><p>Words of it.</p></article>")
     assert [b.text for b in found] == ["A", "Words of it."]
     assert html_text.blocks("<head><title>T</title>Bare words<p>and more")[0].text == "Bare words"
+
+
+@pytest.mark.parametrize("changes", [{"STAR_ROUNDS": 12, "STAR_YIELD": 1000}, {"STAR_ROUNDS": 1}, {"STAR_ROUNDS": 1, "CHUNK": 7}])
+def test_groups_do_not_depend_on_leaders_or_blocks(spark, monkeypatch, changes):
+    """Chains through a crowd: each text is near the next two only, so most links do not lead to a leader."""
+    reach_workers(spark)
+    for name, value in ({"CROWD": 2} | changes).items():
+        monkeypatch.setattr(neardup, name, value)
+    draw = random.Random(3)
+    some = lambda k: [f"w{draw.randrange(10**9)}" for _ in range(k)]
+    rows = []
+    for chain in range(4):
+        words = some(300)
+        for i in range(30):
+            rows.append((100 * chain + i, " ".join(words[5 * i : 5 * i + 150])))  # equal shares with the next: 141 of 151
+    rows.append((1000, " ".join(some(150))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in neardup.keep_one(df).collect()) == [0, 100, 200, 300, 1000]
