@@ -860,5 +860,5 @@ def stream_decision_rate(spark, sf_dir):
     return spark.read.schema(found.schema).parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-# the queries of rules and sinks, and those of streams, register themselves
-from . import catalog_rules, catalog_streams  # noqa: E402, F401
+# the queries of rules and sinks, of sources, and of streams register themselves
+from . import catalog_rules, catalog_sources, catalog_streams  # noqa: E402, F401

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,6 +11,20 @@ from ..sources.requests import _list, _map, _string, refuse_columns, string_vari
 from .stages import PiiRedactor
 
 
+#: What is known of a response that was recorded: what its request asked for, and what came back.
+RESPONSE_SCHEMA = "request_id string, stream boolean, content_type string, body string"
+
+
+def read_response_bodies(spark: SparkSession, path: str, stream: bool = False, **options: str) -> DataFrame:
+    """NDJSON files of recorded responses, one object a line, with the columns of RESPONSE_SCHEMA.
+
+    The body is the text as it came, JSON or not. A line that is no JSON object has nulls in all columns, and fields
+    that are absent are null; such a row is not redactable. With ``stream`` new files are read as they come.
+    """
+    reader = spark.readStream if stream else spark.read
+    return reader.options(**options).schema(RESPONSE_SCHEMA).json(path)
+
+
 def is_redactable(stream: Column, content_type: Column) -> Column:
     return ~F.coalesce(stream, F.lit(False)) & F.coalesce(content_type.startswith("application/json"), F.lit(False))
 

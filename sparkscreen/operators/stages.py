@@ -8,10 +8,11 @@ evaluates only where no earlier stage has blocked.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
@@ -82,6 +83,21 @@ class RegexInjection(Stage):
         return self._once("finding", (messages,), lambda: T.let(T.all_text(messages), lambda t: T.let(R.first_match(self.rules, t), judged)))
 
 
+@contextmanager
+def nulls_for_errors(spark: SparkSession) -> Iterator[None]:
+    """Expressions that are added to a DataFrame within give null where they would raise under ANSI rules.
+
+    Division by zero, casts, overflow and places that are not there are decided when an expression is added, so
+    neither the rest of the plan nor later queries are changed.
+    """
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 Scorer = Callable[[Iterator[pd.Series]], Iterator[pd.Series]] | Callable[[Column], Column]
 
 
@@ -90,8 +106,9 @@ class ScoreStage(Stage):
     """Any scorer of the user text, a threshold, a code.
 
     ``scorer`` is a function of a Column (native), or with ``batches=True`` a function of an iterator
-    of pandas series, which may load its model once before the first batch. A batch scorer that
-    raises or gives null lets the row through (``on_error="allow"``) or blocks it.
+    of pandas series, which may load its model once before the first batch. A scorer that
+    raises or gives null or NaN lets the row through (``on_error="allow"``) or blocks it. A native one is added without
+    ANSI rules, so what would raise gives null; only ``raise_error`` and Python UDFs of its own still fail the job.
     """
 
     scorer: Scorer
@@ -117,7 +134,8 @@ class ScoreStage(Stage):
         df = df.withColumn(self._column() + "_given", F.when(wanted, text))
         given = F.col(self._column() + "_given")  # a pandas UDF sees every row, so rows that need no score are null
         if not self.batches:
-            return df.withColumn(self._column(), F.when(given.isNotNull(), self.scorer(given)).cast("double"))
+            with nulls_for_errors(df.sparkSession):
+                return df.withColumn(self._column(), F.when(given.isNotNull(), self.scorer(given)).cast("double"))
         scorer = self.scorer
 
         @F.pandas_udf("double")

@@ -101,7 +101,13 @@ def refuse_columns(df: DataFrame, made: Iterable[str], what: str) -> None:
         raise ValueError(f"rename the columns {', '.join(clashes)}: {what} makes columns of such names")
 
 
-def parse_requests(bodies: DataFrame, body_col: str = "body", max_body: int = MAX_BODY, path_col: str | None = None, salt: str = "") -> DataFrame:
+def _system_message(system: Column) -> Column:
+    """A top-level system prompt as a message: a string, or a list of text blocks; null for any other kind."""
+    parts = F.transform(_parsed_parts(system, F.lit(0)), lambda p: p["part"])
+    return F.when(_string(system).isNotNull() | parts.isNotNull(), message(F.lit("system"), _string(system), parts))
+
+
+def parse_requests(bodies: DataFrame, body_col: str = "body", max_body: int = MAX_BODY, path_col: str | None = None, salt: str = "", prepend_system: bool = False) -> DataFrame:
     """``bodies`` plus request columns, reject_code and parse_error; a bad body is a row with an error, not a failure.
 
     request_id and received_at are kept if given. If not, received_at is the time of the query, and request_id the digest of the body,
@@ -109,6 +115,10 @@ def parse_requests(bodies: DataFrame, body_col: str = "body", max_body: int = MA
     are joined later need salts of their own. Rows of a stream have no place, and get random ids. Content that is a string,
     null or a list of parts is taken; the fields that are not understood go to ``extra``. ``bodies`` must not have columns
     of the names that are made here, nor of names that begin with an underscore.
+
+    Anthropic bodies may hold their system prompt in a field beside the messages. By default it stays in ``extra`` and is not
+    screened; with ``prepend_system`` it becomes the first message (a string, or a list of text blocks) and leaves ``extra``.
+    Other kinds of it stay where they are. ``serialize_request(..., system_field=...)`` puts it back.
     """
     refuse_columns(bodies, PARSED_COLUMNS, "parsing")
     df = bodies
@@ -137,8 +147,15 @@ def parse_requests(bodies: DataFrame, body_col: str = "body", max_body: int = MA
     )
     df = df.withColumn("_error", error)
     stream = F.when(_kind(F.col("_map")["stream"]) == "BOOLEAN", F.try_variant_get(F.col("_map")["stream"], "$", "boolean"))
-    values = (F.col("_error"), F.when(too_large, "payload_too_large").when(F.col("_error").isNotNull(), "bad_request"), model, F.coalesce(stream, F.lit(False)), F.transform("_parsed", lambda x: x["message"]).cast(MESSAGES), F.map_filter("_map", lambda k, _: ~k.isin("model", "messages", "stream")))
-    kept = [c for c in df.columns if c not in ("_json", "_map", "_parsed", "_error")]
+    messages = F.transform("_parsed", lambda x: x["message"]).cast(MESSAGES)
+    extra = F.map_filter("_map", lambda k, _: ~k.isin("model", "messages", "stream"))
+    if prepend_system:
+        df = df.withColumn("_system", F.when(F.col("provider") == "anthropic", _system_message(F.col("_map")["system"])))
+        taken = F.col("_system").isNotNull()
+        messages = F.when(taken, F.concat(F.array("_system"), messages)).otherwise(messages)
+        extra = F.when(taken, F.map_filter("_map", lambda k, _: ~k.isin("model", "messages", "stream", "system"))).otherwise(extra)
+    values = (F.col("_error"), F.when(too_large, "payload_too_large").when(F.col("_error").isNotNull(), "bad_request"), model, F.coalesce(stream, F.lit(False)), messages, extra)
+    kept = [c for c in df.columns if c not in ("_json", "_map", "_parsed", "_error", "_system")]
     # One row in, one row out: a filter on the error stops here, instead of parsing each body once for itself.
     return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(c) for c, v in zip(PARSED_COLUMNS, values)]))))
 
@@ -159,20 +176,34 @@ def string_variant(text: Column) -> Column:
     return F.parse_json(json_string(text))
 
 
-def serialize_request(model: Column, stream: Column, messages: Column, extra: Column) -> Column:
-    """JSON text of a request: extra fields, then model, stream and messages over them."""
+def serialize_request(model: Column, stream: Column, messages: Column, extra: Column, system_field: Column | None = None) -> Column:
+    """JSON text of a request: extra fields, then model, stream and messages over them.
+
+    Where ``system_field`` is true, a first message of role system goes into a field ``system`` beside the messages.
+    """
 
     def part(p: Column) -> Column:
         image = F.to_json(F.struct(p["type"].alias("type"), F.struct(p["image_url"]["url"].alias("url"), p["image_url"]["detail"].alias("detail")).alias("image_url")), {"ignoreNullFields": "false"})
         return F.when(p["type"] == "image_url", image).otherwise(F.to_json(F.struct(p["type"].alias("type"), F.coalesce(p["text"], F.lit("")).alias("text"))))
 
-    def one(m: Column) -> Column:
+    def content(m: Column) -> Column:
         parts = F.concat(F.lit("["), F.array_join(F.transform(m["parts"], part), ","), F.lit("]"))
-        content = F.when(m["text"].isNotNull() | m["parts"].isNull(), json_string(F.coalesce(m["text"], F.lit("")))).otherwise(parts)
-        return F.concat(F.lit('{"role":'), json_string(m["role"]), F.lit(',"content":'), content, F.lit("}"))
+        return F.when(m["text"].isNotNull() | m["parts"].isNull(), json_string(F.coalesce(m["text"], F.lit("")))).otherwise(parts)
 
+    def one(m: Column) -> Column:
+        return F.concat(F.lit('{"role":'), json_string(m["role"]), F.lit(',"content":'), content(m), F.lit("}"))
+
+    system = F.lit(None)
+    if system_field is not None:
+        first = F.try_element_at(messages, F.lit(1))
+        beside = F.coalesce(system_field & (first["role"] == "system"), F.lit(False))
+        system = F.when(beside, F.parse_json(content(first)))
+        messages = F.when(beside, F.slice(messages, F.lit(2), F.greatest(F.size(messages) - 1, F.lit(0)))).otherwise(messages)
     listed = F.parse_json(F.concat(F.lit("["), F.array_join(F.transform(messages, one), ","), F.lit("]")))
     own = F.create_map(F.lit("model"), string_variant(model), F.lit("stream"), F.parse_json(stream.cast("string")), F.lit("messages"), listed)
+    if system_field is not None:
+        own = F.when(system.isNotNull(), F.map_concat(own, F.create_map(F.lit("system"), system))).otherwise(own)
+        extra = F.when(system.isNotNull(), F.map_filter(extra, lambda k, _: k != "system")).otherwise(extra)
     others = F.map_filter(F.coalesce(extra, F.create_map().cast("map<string,variant>")), lambda k, _: ~k.isin("model", "stream", "messages"))
     return F.to_json(F.map_concat(others, own))
 
