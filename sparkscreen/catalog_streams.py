@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .catalog import _ERROR, _KIND, _SLIDING, _bodies, _decided_events, _plain_start, _stream, _t, query
 from .operators import metrics as M
@@ -18,16 +19,28 @@ from .streaming import rates as SR
 from .streaming import sinks as SS
 
 
-def _in_batches(df: DataFrame, parts: Sequence[Column], label: str) -> DataFrame:
-    """The rows as a stream of one micro-batch for each condition of ``parts``, in this order."""
+_NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def run_in_batches(df: DataFrame, parts: Sequence[Column], label: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Runs the stream that ``start`` begins over the rows, as one micro-batch for each condition of ``parts``, in this order.
+
+    The rows of a micro-batch lie in as many files as tasks wrote them, so no task takes a whole batch. The stream is
+    stopped after each batch and goes on from its checkpoint; what only time passing brings about comes after the last.
+    """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    for part in parts:
-        df.filter(part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    before = spark.conf.get(_NO_DATA)
+    for n, part in enumerate(parts):
+        df.filter(part).write.mode("append").parquet(path)
+        try:
+            spark.conf.set(_NO_DATA, before if n == len(parts) - 1 else "false")
+            start(spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
+        finally:
+            spark.conf.set(_NO_DATA, before)
 
 
-def _run(stream, spark, label: str) -> None:
-    stream.option("checkpointLocation", scratch_path(spark, label)).trigger(availableNow=True).start().awaitTermination()
+def _started(stream, state: str) -> StreamingQuery:
+    return stream.option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
 @query("SELECT conv_id, 1 AS part, count(*)::INT AS n_messages, string_agg(role || ':' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS said FROM conversations GROUP BY conv_id")
@@ -36,11 +49,11 @@ def stream_conversations(spark, sf_dir):
     turns = _t(spark, sf_dir, "conversations").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn")))
     last = turns.agg(F.max("turn").alias("turn")).select(F.lit(-1).cast("long").alias("conv_id"), "turn", F.lit("user").alias("role"), F.lit("").alias("text"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("ts"))
     own = F.col("conv_id") >= 0
-    stream = _in_batches(turns.unionByName(last), [own & (F.col("turn") % 2 == 1), own & (F.col("turn") % 2 == 0), ~own], "turns")
-    found = SA.conversations_from_stream(stream)
     said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "\n")
-    out = scratch_path(spark, "conversations")
-    _run(found.select("conv_id", "part", F.size("messages").alias("n_messages"), said.alias("said")).writeStream.format("parquet").option("path", out), spark, "conversations-state")
+    out, state = scratch_path(spark, "conversations"), scratch_path(spark, "conversations-state")
+    found = lambda stream: SA.conversations_from_stream(stream).select("conv_id", "part", F.size("messages").alias("n_messages"), said.alias("said"))
+    start = lambda stream: _started(found(stream).writeStream.format("parquet").option("path", out), state)
+    run_in_batches(turns.unionByName(last), [own & (F.col("turn") % 2 == 1), own & (F.col("turn") % 2 == 0), ~own], "turns", start)
     return spark.read.schema("conv_id long, part int, n_messages int, said string").parquet(out)
 
 
@@ -56,8 +69,8 @@ def stream_counters(spark, sf_dir):
     """All counters over five micro-batches: the last value of each, and what its snapshots rose by altogether."""
     events = _decided_events(spark, sf_dir).withColumn("error_class", F.col("event_type")).drop("received_at", "value")
     n = F.pmod(F.xxhash64("code", "total_redactions", "decision"), F.lit(5))
-    path = scratch_path(spark, "counters")
-    SC.run_counters(_in_batches(events, [n == i for i in range(5)], "events"), path, scratch_path(spark, "counters-state")).awaitTermination()
+    path, state = scratch_path(spark, "counters"), scratch_path(spark, "counters-state")
+    run_in_batches(events, [n == i for i in range(5)], "events", lambda stream: SC.run_counters(stream, path, state))
     series = SC.read_counters(spark, path)
     values = series.groupBy("metric", "labels").agg(F.max_by("value", "batch").alias("value"))
     rose = SC.increase(series, "3650 days").groupBy("metric", "labels").agg(F.sum("increase").alias("increase"))
@@ -71,7 +84,7 @@ def stream_sliding_rate(spark, sf_dir):
     kind = F.pmod("event_id", F.lit(3))
     decided = events.select(F.col("ts").cast("timestamp").alias("received_at"), F.when(kind == 0, "block").when(kind == 1, "redact").otherwise("allow").alias("decision"))
     found, out = SR.decision_rate(decided), scratch_path(spark, "sliding")
-    _run(found.writeStream.outputMode("append").format("parquet").option("path", out), spark, "sliding-state")
+    _started(found.writeStream.outputMode("append").format("parquet").option("path", out), scratch_path(spark, "sliding-state")).awaitTermination()
     return _plain_start(spark.read.schema(found.schema).parquet(out))
 
 
@@ -101,9 +114,8 @@ SELECT doc_id::VARCHAR AS request_id, CASE WHEN e IS NOT NULL THEN 'rejected' WH
 def stream_screened_tables(spark, sf_dir):
     """Bodies of every document, in three micro-batches, into forwarded, blocked, rejected and audit tables: where each row is, and how often."""
     n = F.pmod("doc_id", F.lit(3))
-    path, words = scratch_path(spark, "screened"), Pipeline([S.PolicyEngine([S.PolicyRule("words", ("scum", "moron"))])])
-    bodies = _in_batches(_bodies(spark, sf_dir).drop("kind"), [n == i for i in range(3)], "bodies")
-    SS.run_screening(bodies, words, path, scratch_path(spark, "screened-state"), path_col="path").awaitTermination()
+    path, state, words = scratch_path(spark, "screened"), scratch_path(spark, "screened-state"), Pipeline([S.PolicyEngine([S.PolicyRule("words", ("scum", "moron"))])])
+    run_in_batches(_bodies(spark, sf_dir).drop("kind"), [n == i for i in range(3)], "bodies", lambda stream: SS.run_screening(stream, words, path, state, path_col="path"))
     kinds = [SS.read_screened(spark, path, k).select("request_id", F.lit(k).alias("kind")) for k in (SS.FORWARDED, SS.BLOCKED, SS.REJECTED)]
     there = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("request_id", "kind").agg(F.count("*").cast("int").alias("rows_there"))
     audited = SS.read_screened(spark, path, SS.AUDIT).groupBy(F.col("request_id").cast("string").alias("request_id")).agg(F.count("*").cast("int").alias("audited"))
