@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import _DECIDED, _ERROR, _KIND, _REDACTOR, _TURN_SQL, _audited, _bodies, _response_bodies, _t, query
+from .catalog_streams import run_in_batches
 from .functions import text as T
 from .operators import responses as RS
 from .operators import stages as S
@@ -88,13 +89,11 @@ def native_scorer_fails(spark, sf_dir):
 
 @query(f"{_DECIDED} SELECT decision, count(*) AS records, count(DISTINCT doc_id) AS requests FROM decided GROUP BY decision")
 def audit_stream(spark, sf_dir):
-    """Audit records as a stream of four micro-batches into dated files, stopped after the second and started again."""
-    path, source, state = scratch_path(spark, "audit-stream"), scratch_path(spark, "audit-in"), scratch_path(spark, "audit-state")
+    """Audit records as a stream of four micro-batches into dated files, stopped after each and started again."""
+    path, made, state = scratch_path(spark, "audit-stream"), scratch_path(spark, "audit-made"), scratch_path(spark, "audit-state")
     records = A.audit_records(_audited(spark, sf_dir))
-    part = F.pmod(F.xxhash64("request_id"), F.lit(4))
-    written, stream = records.withColumn("part", part), spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1)
-    for two in ((0, 1), (2, 3)):
-        for n in two:
-            written.filter(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(source)
-        A.stream_audit(stream.parquet(source), path, state).awaitTermination()
+    # decided once; a batch's records then lie in as many files as tasks decided them
+    dealt = records.withColumn("part", F.pmod(F.xxhash64("request_id"), F.lit(4)).cast("int"))
+    dealt.write.partitionBy("part").parquet(made)
+    run_in_batches(spark.read.schema(dealt.schema).parquet(made), [F.col("part") == n for n in range(4)], "audit-in", lambda stream: A.stream_audit(stream.drop("part"), path, state))
     return A.read_audit(spark, path).groupBy("decision").agg(F.count("*").alias("records"), F.count_distinct("request_id").alias("requests"))

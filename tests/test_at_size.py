@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sparkscreen import catalog_streams
+from sparkscreen import catalog_sources, catalog_streams
 
 
 def test_a_micro_batch_is_no_single_task(spark, tmp_path):
@@ -17,3 +17,12 @@ def test_a_micro_batch_is_no_single_task(spark, tmp_path):
     catalog_streams.run_in_batches(spark.range(40, numPartitions=4), [F.col("id") % 2 == 1, F.col("id") < 0, F.col("id") % 2 == 0], "numbers", start)
     assert [(n, ids) for n, ids, _ in seen if ids] == [(0, list(range(1, 40, 2))), (seen[-1][0], list(range(0, 40, 2)))]
     assert all(files == 4 for _, ids, files in seen if ids)
+
+
+def test_audit_records_are_decided_once_and_by_many_tasks(spark, sf_dir, monkeypatch):
+    made = []
+    run = catalog_sources.run_in_batches
+    monkeypatch.setattr(catalog_sources, "run_in_batches", lambda df, *rest: (made.append(df), run(df, *rest)))
+    rows = catalog_sources.audit_stream(spark, sf_dir).collect()
+    assert sum(r["records"] for r in rows) == sum(r["requests"] for r in rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert len(made[0].filter("part = 0").inputFiles()) > 1 and "regex" not in made[0]._jdf.queryExecution().optimizedPlan().toString()
