@@ -1,8 +1,11 @@
 """What must not gather in one task, nor grow faster than its input."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from sparkscreen import catalog_sources, catalog_streams
+from sparkscreen.operators import keywords as K
 
 
 def test_a_micro_batch_is_no_single_task(spark, tmp_path):
@@ -26,3 +29,17 @@ def test_audit_records_are_decided_once_and_by_many_tasks(spark, sf_dir, monkeyp
     rows = catalog_sources.audit_stream(spark, sf_dir).collect()
     assert sum(r["records"] for r in rows) == sum(r["requests"] for r in rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert len(made[0].filter("part = 0").inputFiles()) > 1 and "regex" not in made[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_grams_are_not_counted_out_and_long_keywords_take_every_second(spark):
+    """No gram is found by counting letters from the start, short lists carry no whole text, and what is looked up at every second place misses nothing."""
+    draw = random.Random(5)
+    some = lambda n: "".join(draw.choice("abé😀 ") for _ in range(n))
+    texts = [(i, some(draw.randint(0, 400))) for i in range(80)]
+    words = [w for _, t in texts for n in (6, 7, 8, 9, 13) for at in (draw.randint(0, 300),) for w in (t[at : at + n],) if w] + [some(7) for _ in range(50)]
+    index = K.keyword_index(spark.createDataFrame([(w,) for w in words], "keyword string"))
+    for piece in (7, 13, 256):
+        hits = K.keyword_hits(spark.createDataFrame(texts, "id long, text string"), index, ["id"], piece=piece)
+        assert {tuple(r) for r in hits.collect()} == {(i, w) for i, t in texts for w in words if w in t}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert (K.LONG_GRAM, K.STEP) in index.cuts and "lambdafunction(substring(substring(_around" not in plan and "posexplode" in plan and "Contains(_text" not in plan
