@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import scratch_path
+from ..sources.shared import scratch_path, small_batches
 
 
 def reach_workers(spark: SparkSession) -> None:
@@ -21,16 +21,6 @@ def reach_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), root]))
 
 
-#: Texts go to Python in batches of so many bytes, unless the session's own configuration says otherwise.
-BATCH_BYTES = 8 << 20
-_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    if spark.conf.get(_BATCH_CONF, None) is None:
-        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reach_workers(spark)
     small_batches(spark)

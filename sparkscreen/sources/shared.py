@@ -38,6 +38,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return posixpath.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+#: Texts go to Python in batches of so many bytes, unless the session's own configuration says otherwise.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds at once, whatever the number of rows."""
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 #: A table with less than so many bytes for each core may be a few row groups, or one, and as few tasks.
 SPREAD_BYTES = 32 << 20
 

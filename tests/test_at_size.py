@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from sparkscreen import catalog_sources, catalog_streams
 from sparkscreen.operators import keywords as K
+from sparkscreen.operators import stages as S
+from sparkscreen.plans.pipeline import Pipeline
+from sparkscreen.sources import requests as Q
 
 
 def test_a_micro_batch_is_no_single_task(spark, tmp_path):
@@ -43,3 +46,19 @@ def test_grams_are_not_counted_out_and_long_keywords_take_every_second(spark):
         assert {tuple(r) for r in hits.collect()} == {(i, w) for i, t in texts for w in words if w in t}
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert (K.LONG_GRAM, K.STEP) in index.cuts and "lambdafunction(substring(substring(_around" not in plan and "posexplode" in plan and "Contains(_text" not in plan
+
+
+def test_a_scorer_keeps_no_earlier_batches(spark):
+    """What a worker holds does not grow with the batches that it has scored; batches are bounded in bytes."""
+
+    def scorer(batches):
+        import resource  # peak so far, in KB
+
+        for texts in batches:
+            peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+            yield texts.str.len() * 0.0 + peak + len(texts) * 1e9
+
+    docs = spark.range(0, 16_000, numPartitions=1).select("id", F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 20_000)).alias("text"))
+    ran = Pipeline([S.ScoreStage(scorer, 0.0, "custom", "Peak", batches=True)]).run(Q.requests_from_text(docs))
+    found = ran.agg(F.max(F.floor(F.col("score") / 1e9)).alias("rows"), F.max(F.col("score") % 1e9).alias("last"), F.min(F.col("score") % 1e9).alias("first")).first()
+    assert found["rows"] < 1000 and found["last"] - found["first"] < 120_000
