@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,14 +43,17 @@ def shuffles_go(spark: SparkSession) -> Iterator[None]:
 
 
 _FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, survives lost executors.
 
-    The shuffle files of making it go at once; its own folder stays until ``discard``.
+    The shuffle files of making it go at once; its own folder stays until ``discard``, or the end of ``scratch_goes``.
     """
     path = scratch_path(df.sparkSession, label)
+    if (scratch := _SCRATCH.get()) is not None:
+        scratch.append(path)
     with shuffles_go(df.sparkSession):
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -57,11 +61,40 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def _removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Removes the folders of ``written`` tables that nothing reads any more."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop(df))
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _removed(df.sparkSession, _FOLDERS.pop(df))
+
+
+@contextmanager
+def scratch_goes(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables ``written`` within are removed at the end, but for those given to the function that it yields.
+
+    What is used afterwards may read those only. They go with the scratch around, if there is one.
+    """
+    made: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(_FOLDERS[df])
+        return df
+
+    token = _SCRATCH.set(made)
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(token)
+        for path in made:
+            if path not in kept:
+                _removed(spark, path)
+        if (around := _SCRATCH.get()) is not None:
+            around += kept
 
 
 #: At most so many keys are hubs, and never one with fewer rows than LEAST_HUB.

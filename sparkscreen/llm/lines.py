@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table, text_or_empty, written
+from .common import scratch_goes, small, table, text_or_empty, written
 
 NEAR_WORDS, FETCHED_ROW_BYTES = 10, 160
 _SPACES = ("  ", "\t", "\r", "\f", "\x0b")
@@ -125,6 +125,11 @@ def repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
 
     ``docs`` has doc_id and text. ``th`` is the hash of the text: rows with equal id and text are one document.
     """
+    with scratch_goes(docs.sparkSession) as keep:
+        return keep(written(_gone(docs, near_words), "gone"))
+
+
+def _gone(docs: DataFrame, near_words: int) -> DataFrame:
     lines = written(_line_table(docs, near_words), "lines")
     # sums and minima of numbers only, so that they are made by hashing; the first place of a line that repeats follows below
     keys = [F.min(k).alias(k) for k in ("n", "k0", "k1", "k2", "k3")]
@@ -134,7 +139,8 @@ def repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     firsts = written(repeats.filter(F.col("doc").eqNullSafe(F.col("least"))).groupBy("h").agg(F.min(_place()).alias("first")), "firsts")
     single = once.filter("copies = 1 and k0 is not null").select("h", "n", "k0", "k1", "k2", "k3", _place().alias("first"))
     again = once.filter("copies > 1 and k0 is not null").select("h", "n", "k0", "k1", "k2", "k3").join(firsts, "h")
-    near = written(_near_repeats(single.unionByName(again), docs), "near")
+    with scratch_goes(docs.sparkSession) as keep:
+        near = keep(written(_near_repeats(single.unionByName(again), docs), "near"))
     stay = firsts.join(near, "h", "left_anti").select("first.doc", "first.th", "first.pos", F.lit(True).alias("stays"))
     alone = once.filter("copies = 1").join(near, "h", "left_semi").select("doc", "th", "pos", F.lit(False).alias("stays"))
     places = repeats.select("doc", "th", "pos", F.lit(False).alias("stays")).unionByName(alone).unionByName(stay)

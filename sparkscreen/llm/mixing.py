@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, table, text_or_empty, written
+from .common import scratch_goes, small, table, text_or_empty, written
 
 MOST, WEIGHTS, BUCKETS = 3, 3, 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -110,7 +110,9 @@ def mixed_rows(docs: DataFrame, most: int = MOST, weights: int = WEIGHTS) -> Dat
     taken. Other columns may have any names.
     """
     key = lambda c: F.xxhash64(c, c.isNull())
-    plan = written(mix_documents(docs, most, weights), "mix").groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+    with scratch_goes(docs.sparkSession) as keep:
+        mix = keep(written(mix_documents(docs, most, weights), "mix"))
+    plan = mix.groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
     plan = plan.filter("taken > 0").select(key(F.col("doc_id")).alias("k"), F.col("size").alias("z"), F.struct("doc_id", "taken", "rows").alias("plan"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key(docs["doc_id"]).alias("k"), word_count(text_or_empty(docs["text"])).alias("z"))
     numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("k", "z").orderBy("k")))

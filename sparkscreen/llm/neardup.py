@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, text_or_empty, unused, written
+from .common import scratch_goes, small, text_or_empty, unused, written
 from .components import components
 from .simhash import _BATCH_SHINGLES, _signed, pivots, shingle_hashes
 
@@ -97,9 +97,12 @@ def long_fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = WORDS)
 
 
 def _sets_of(nodes: DataFrame, docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(th) of one text for each node -> node, shingles."""
+    """(th) of one text for each node, from a written table -> node, shingles.
+
+    Only the texts of these nodes are shuffled, while what names them is small.
+    """
     text = text_or_empty("text")
-    texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).join(nodes, "th", "left_semi").dropDuplicates(["th"]).select("text")
+    texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).join(small(nodes, nodes.count()), "th", "left_semi").dropDuplicates(["th"]).select("text")
 
     def compute(batches):
         for batch in batches:
@@ -152,8 +155,10 @@ def _keyed(choices: list[list[int]], words: int):
 def _near(pairs: DataFrame, table: DataFrame, limit: int, similarity: float, words: int) -> DataFrame:
     """Pairs (u, v) within the bits, with their set sizes n and n2.
 
-    Many pairs may have the same v: what is known of these is broadcast while it is small.
+    Many pairs may have the same v: what is known of these is broadcast while it is small. The pairs are few
+    beside the rows of the join that they come from, which is made once by writing them.
     """
+    pairs = written(pairs, "met")
     names = [f"f{i}" for i in range(words)]
     whole = [f"c{k}" for k in range(WHOLE_PIVOTS)]
     seconds = written(pairs.select("v").distinct(), "seconds")
@@ -194,12 +199,22 @@ def _star_links(active: DataFrame, test) -> list[DataFrame]:
     return links
 
 
+def _settle(links: list[DataFrame]) -> None:
+    """Puts links of every node with the root of its component in the place of all links: they are fewer, and settle at once.
+
+    The first of ``links`` is what it left the last time, or no link at all.
+    """
+    more = [x for x in links[1:] if not x.isEmpty()]
+    links[1:] = []
+    if more:
+        roots = components(functools.reduce(DataFrame.unionByName, more, links[0]))
+        links[0] = written(roots.filter("u <> root").select("u", F.col("root").alias("v")), "roots")
+
+
 def _rooted(members: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """``members`` with the ``root`` of each node's component, by the links so far."""
-    if not links:
-        return members.withColumn("root", F.col("node"))
-    roots = written(components(functools.reduce(DataFrame.unionByName, links)), "roots")
-    found = small(roots.select(F.col("u").alias("node"), F.col("root").alias("known")), roots.count(), 32)
+    """``members`` with the ``root`` of each node's component, by the links so far, which are settled."""
+    _settle(links)
+    found = small(links[0].select(F.col("u").alias("node"), F.col("v").alias("known")), links[0].count(), 32)
     return members.join(found, "node", "left").withColumn("root", F.coalesce("known", "node")).drop("known")
 
 
@@ -218,20 +233,21 @@ class _Search:
 
     def sets(self, of: DataFrame) -> DataFrame:
         """(node, shingles) of the nodes in ``of``."""
-        return written(_sets_of(self.nodes.select("node", "th").join(of.select("node").distinct(), "node", "left_semi").select("th"), self.docs), "sets")
+        wanted = written(self.nodes.select("node", "th").join(of.select("node").distinct(), "node", "left_semi").select("th"), "wanted")
+        return written(_sets_of(wanted, self.docs), "sets")
 
     def test(self, sets: DataFrame):
         return lambda pairs: _alike(_near(pairs, self.table, self.limit, self.similarity, self.words), sets, self.similarity)
 
-    def links(self, keyed: DataFrame, known: list[DataFrame], sets: DataFrame | None = None) -> tuple[list[DataFrame], DataFrame]:
-        """(key, node, f0) and the links known -> more links, and (key, node, root, members) of keys too large for a block."""
+    def links(self, keyed: DataFrame, links: list[DataFrame], sets: DataFrame | None = None) -> DataFrame:
+        """(key, node, f0), and the links known, to which more are added -> (key, node, root, members) of keys too large for a block."""
         shared = written(keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
         crowded = written(keyed.select("key", "node").join(shared.filter(F.col("members") > CROWD).select("key"), "key"), "crowded")
-        links, crowds = [], not crowded.isEmpty()
+        crowds = not crowded.isEmpty()
         if crowds:
             of_crowds = self.sets(crowded) if sets is None else sets
             links += _star_links(crowded, self.test(of_crowds))
-        few = _rooted(keyed.join(shared.filter(F.col("members") <= CROWD).select("key"), "key"), known + links)
+        few = _rooted(keyed.join(shared.filter(F.col("members") <= CROWD).select("key"), "key"), links)
         other = few.select("key", F.col("node").alias("v"), F.col("f0").alias("g0"), F.col("root").alias("root2"))
         # the first of the words alone discards nearly all pairs by chance before anything is gathered for them
         first = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) <= most_bits(self.similarity, 1, FIRST_SLACK)
@@ -240,10 +256,10 @@ class _Search:
         if not near.isEmpty():
             links.append(_alike(near, self.sets(near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node")))) if sets is None else sets, self.similarity))
         if not crowds:
-            return links, crowded.selectExpr("key", "node", "node as root", "0L as members")
-        still = _open(_rooted(crowded, known + links))
+            return crowded.selectExpr("key", "node", "node as root", "0L as members")
+        still = _open(_rooted(crowded, links))
         links.append(self.in_blocks(still.filter(F.col("members") <= CHUNK), of_crowds))
-        return links, still.filter(F.col("members") > CHUNK)
+        return still.filter(F.col("members") > CHUNK)
 
     def in_blocks(self, members: DataFrame, sets: DataFrame) -> DataFrame:
         """(key, node, root) -> links between the components of each key; only links that connect come out.
@@ -305,9 +321,9 @@ class _Search:
 
 
 def wide_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
-    """(node, th, n, f0, f1, ...) from a written table -> links (u, v) that span the near copies.
+    """(node, th, n, f0, f1, ...) from a written table -> links (u, v) of nodes with the least node of their near copies.
 
-    Every link is of two nodes whose shingle sets, made from the texts in ``docs``, have the similarity,
+    They are the components of links. Every link is of two nodes whose shingle sets, made from the texts in ``docs``, have the similarity,
     and every two such nodes that share a key are connected.
     """
     names = [f"f{i}" for i in range(words)]
@@ -315,16 +331,17 @@ def wide_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
     table = written(nodes.select("node", "n", *names, *whole), "pivots")
     keyed = written(nodes.select("node", *names).mapInArrow(_keyed(_choices(nodes.count(), words, similarity, recall), words), "node long, key long, f0 long"), "keys")
     search = _Search(table, nodes, docs, similarity, words)
-    links, large = search.links(keyed, [])
+    links = [table.selectExpr("node as u", "node as v").limit(0)]
+    large = search.links(keyed, links)
     if not large.isEmpty():
         # alike in bits; the sets themselves tell who can be similar
         sets = search.sets(large)
         rare = written(_rare_shingles(large.select("node").distinct(), sets, similarity).join(table.select("node", "f0"), "node"), "prefixes")
-        more, large = search.links(rare, links, sets)
-        links += more
+        large = search.links(rare, links, sets)
         if not large.isEmpty():
             links.append(search.in_blocks(_open(_rooted(large.select("key", "node"), links)), sets))
-    return functools.reduce(DataFrame.unionByName, links) if links else table.selectExpr("node as u", "node as v").limit(0)
+    _settle(links)
+    return links[0]
 
 
 def _rare_shingles(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -343,12 +360,20 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sets are one node. Blank texts are near copies of one another. Rows that repeat a kept
     id with the same shingles stay; null ids stay only where a group has no other.
     """
+    own = unused("id_", docs)
+    with scratch_goes(docs.sparkSession) as keep:
+        gone = keep(written(_gone(docs, similarity).withColumnRenamed("doc_id", own), "gone"))
+    # texts are shuffled only where a large part of them goes
+    return docs.join(small(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
+
+
+def _gone(docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id) of the near copies that do not stay."""
     names = [f"f{i}" for i in range(WORDS)]
     prints = written(long_fingerprints(docs), "fingerprints")
     nodes = written(prints.groupBy("node", "n", *names).agg(F.min("doc_id").alias("first"), F.min("th").alias("th")), "nodes")
-    roots = components(wide_links(nodes.select("node", "th", "n", *names), docs, similarity))
+    roots = wide_links(nodes.select("node", "th", "n", *names), docs, similarity).withColumnRenamed("v", "root")
     linked = nodes.join(roots, F.col("node") == F.col("u"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     kept = linked.groupBy("root").agg(F.min_by(F.struct("first", "node"), F.struct(F.col("first").isNull(), F.col("first"), F.col("node"))).alias("k"))
-    own = unused("id_", docs)
-    ids = written(kept.select(F.col("k.first").alias(own)).distinct(), "kept")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    ids = kept.select(F.col("k.first").alias("kept")).distinct()
+    return prints.select("doc_id").distinct().join(ids, F.col("doc_id").eqNullSafe(F.col("kept")), "left_anti")
