@@ -37,13 +37,16 @@ def write_audit(records: DataFrame, path: str, records_per_file: int = 1_000_000
 
 
 MAX_FILE_BYTES, RANGE_RECORDS = 100 << 20, 1 << 20
+#: Files of at most so many bytes are rows, as many for a task as given here or as its bytes allow; a larger file has a task of its own.
+ROW_FILE_BYTES, TASK_FILES, TASK_BYTES = 1 << 20, 128, 32 << 20
 
 
 def write_audit_bounded(records: DataFrame, path: str, max_bytes: int = MAX_FILE_BYTES, mode: str = "append", range_records: int = RANGE_RECORDS) -> None:
     """NDJSON by day, no file larger than ``max_bytes``, each written by one task; a record larger than that has a file of its own.
 
     A record's place is the sum of the bytes of its day before it, in order of time, by prefix sums over sorted ranges;
-    its file follows from that place, and rows go to the tasks of their files. Records are sorted once.
+    its file follows from that place. Files of up to 1 MB are gathered to one row each, and a task writes many of them
+    (as text, so their names end in ``.txt``); with a larger bound, each file has a task of its own (``.json``).
     """
     spark = records.sparkSession
     if max_bytes < 1:
@@ -51,7 +54,8 @@ def write_audit_bounded(records: DataFrame, path: str, max_bytes: int = MAX_FILE
     line = F.to_json(F.struct(*[F.col(c) for c in records.columns]))
     sized = records.select(F.struct(*[F.col(c) for c in records.columns]).alias("r"), F.substring("timestamp", 1, 10).alias("date"), (F.octet_length(line) + 1).cast("long").alias("bytes"))
     sized = _kept(sized.withColumn("tie", F.monotonically_increasing_id()), "audit-sized")
-    count, most = sized.agg(F.count("*"), F.max(F.when(F.col("bytes") * 2 <= max_bytes, F.col("bytes")))).first()
+    shared = F.when(F.col("bytes") * 2 <= max_bytes, F.col("bytes"))
+    count, most, total, large = sized.agg(F.count("*"), F.max(shared), F.coalesce(F.sum(shared), F.lit(0)), F.count_if(shared.isNull())).first()
     keys = ["date", "r.timestamp", "r.request_id", "tie"]
     ordered = sized.repartitionByRange(max(1, -(-count // range_records)), *keys).sortWithinPartitions(*keys)
     # large records stand alone; a file takes the others whose first byte lies in its share, which leaves room for one more
@@ -63,10 +67,16 @@ def write_audit_bounded(records: DataFrame, path: str, max_bytes: int = MAX_FILE
     start = sums.select("range", F.col("date").alias("_day"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("skip"), F.coalesce(F.sum("large").over(before), F.lit(0)).alias("skip_large"))
     within = Window.partitionBy("range", "date").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     placed = ordered.withColumn("range", in_range).withColumns({"own": F.coalesce(F.sum("bytes").over(within), F.lit(0)), "own_large": F.coalesce(F.count_if("alone").over(within), F.lit(0))})
-    joined = placed.join(start.withColumnRenamed("range", "_range"), (F.col("range") == F.col("_range")) & F.col("date").eqNullSafe(F.col("_day")))
+    joined = placed.join(F.broadcast(start.withColumnRenamed("range", "_range")), (F.col("range") == F.col("_range")) & F.col("date").eqNullSafe(F.col("_day")))
     share = max(1, max_bytes - (most or 0))
     number = F.when(F.col("alone"), F.col("skip_large") + F.col("own_large")).otherwise(F.floor((F.col("skip") + F.col("own")) / share).cast("long"))
     numbered = joined.select("r", "date", "alone", "at", number.alias("file"))
+    if max_bytes <= ROW_FILE_BYTES:
+        tasks = max(1, -(-(total // share + large) // TASK_FILES), -(-total // TASK_BYTES))
+        text = F.expr("listagg(to_json(r), '\n') WITHIN GROUP (ORDER BY at)")
+        rows = numbered.repartition(tasks, "date", "alone", "file").groupBy("date", "alone", "file").agg(text.alias("value"))
+        rows.select("value", "date").write.mode(mode).option("maxRecordsPerFile", 1).partitionBy("date").text(path)
+        return
     # one number for all days: files of each day and kind, after one another; one row for each day and kind
     kinds = numbered.groupBy("date", "alone").agg(F.max("file").alias("last")).collect()
     first, files = [], 0

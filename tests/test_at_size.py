@@ -8,6 +8,7 @@ from sparkscreen import catalog_sources, catalog_streams
 from sparkscreen.operators import keywords as K
 from sparkscreen.operators import stages as S
 from sparkscreen.plans.pipeline import Pipeline
+from sparkscreen.sources import audit as A
 from sparkscreen.sources import requests as Q
 
 
@@ -62,3 +63,22 @@ def test_a_scorer_keeps_no_earlier_batches(spark):
     ran = Pipeline([S.ScoreStage(scorer, 0.0, "custom", "Peak", batches=True)]).run(Q.requests_from_text(docs))
     found = ran.agg(F.max(F.floor(F.col("score") / 1e9)).alias("rows"), F.max(F.col("score") % 1e9).alias("last"), F.min(F.col("score") % 1e9).alias("first")).first()
     assert found["rows"] < 1000 and found["last"] - found["first"] < 120_000
+
+
+def test_small_audit_files_share_tasks(spark, tmp_path, monkeypatch):
+    """A task writes many small files, the same ones as with a task for each: null days, other scripts, line breaks and records over the bound too."""
+    draw = random.Random(9)
+    at = lambda i: None if i % 50 == 0 else f"2024-01-0{1 + i % 2}T00:00:{i % 60:02d}.{i:03d}Z"
+    rows = [(at(i), f"r{i}", "allow", None if i % 7 == 0 else draw.choice(("x", 'ä"\\\n', "😀" * 20, "y" * 400))) for i in range(200)]
+    df = spark.createDataFrame(rows, "timestamp string, request_id string, decision string, reason string").repartition(3)
+
+    def written(name):
+        A.write_audit_bounded(df, str(tmp_path / name), 400, range_records=60)
+        parts = list((tmp_path / name).rglob("part-*"))
+        return sorted((p.parent.name, p.read_bytes()) for p in parts), {p.name[:10] for p in parts}
+
+    files, tasks = written("shared")
+    assert len(files) > 60 and len(tasks) * 30 < len(files)
+    assert all(len(data) <= 400 or data.count(b"\n") == 1 for _, data in files)
+    monkeypatch.setattr(A, "ROW_FILE_BYTES", 0)
+    assert written("alone")[0] == files
